@@ -33,7 +33,11 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndar
     s, q = size.astype(float).tolist(), p.tolist()
     hand: list[int] = []
     moving = [i for i in np.argsort(-size, kind="stable").tolist() if _EDGE < q[i] < 1 - _EDGE]
-    held = {moving[k] for k in np.linspace(0.4 * len(moving), len(moving) - 1, HELD).astype(int).tolist()} if len(moving) > HELD else set(moving)
+    held: set[int] = set()
+    for k in range(1, min(HELD, len(moving)) + 1):  # sizes that halve, whose sums come near any number
+        free = [i for i in moving[1:] if i not in held]
+        if free:
+            held.add(min(free, key=lambda i: abs(s[i] - s[moving[0]] / 2**k)))
     waiting = iter([i for i in moving if i not in held])
     while True:
         while len(hand) < 3 and (i := next(waiting, None)) is not None:
