@@ -10,9 +10,11 @@ from . import licences, url_filter, vocab
 from .mixing import mix
 from .near_dup import near_duplicates
 from .packing import pack
+from .pivots import near_vectors
 from .quality import quality_scores
 from .secrets import scan_secrets
 from .token_counts import token_counts
+from .topk import top_inner_products
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op8_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -59,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
+    "op8_top_inner_products": op8_top_inner_products,
+    "op9_near_vectors": op9_near_vectors,
     "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": url_filter.ORACLE, "op4_licence_scan": licences.ORACLE}
