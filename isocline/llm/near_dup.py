@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import fixed_binary, key_groups, slices, small_side, staged
+from .common import fixed_binary, key_field, key_groups, slices, small_side, staged
 from .components import connected_components
 
 SIZE, DEPTH, TREES = 128, 4, 32
@@ -38,7 +38,7 @@ def _signatures(words: int):
                 n.append(len(x))
                 digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
                 signatures.append(hasher.signature(x).astype(">u4").tobytes() if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "node", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), *batch.columns[2:]], ["doc_id", "n_shingles", "node", "signature", *batch.schema.names[2:]])
 
     return run
 
@@ -121,18 +121,19 @@ def _links(percent: int, least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents link if 100 * intersection >= percent * union of their sets of distinct word shingles; component_id is the
     smallest doc_id reachable by links. Texts without words, and null texts, link with nothing and are their own
     component. Texts with fewer words than a shingle have their whole sequence as the one shingle. Repeated rows are exact
     copies and share a component; a null doc_id is larger than any other, and kept only if its component has no other.
-    An empty table gives an empty result. Further columns are not read.
+    An empty table gives an empty result. key is a further column to carry; others are not read.
     """
     least = percent / 100 - SLACK
     text = docs.select("doc_id", "text")
-    base = staged(text.mapInArrow(_signatures(words), "doc_id long, n_shingles long, node binary, signature binary"), "signatures")
+    extra = [key] if key else []
+    base = staged(docs.select("doc_id", "text", *extra).mapInArrow(_signatures(words), f"doc_id long, n_shingles long, node binary, signature binary{key_field(docs, key)}"), "signatures")
     nodes = staged(base.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("signature").alias("signature")), "nodes")
 
     keys = nodes.select("node", F.posexplode(F.array(*[F.xxhash64(F.lit(t), F.substring("signature", 4 * DEPTH * t + 1, 4 * DEPTH)) for t in range(TREES)])).alias("tree", "prefix"))
@@ -160,6 +161,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     whole = nodes.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = whole.groupBy("root").agg(F.min("rep").alias("component"), F.sum("copies").alias("rows")).where("rows > 1")
     member = staged(whole.join(lowest, "root").select("node", "component"), "members")
-    out = base.select("doc_id", "n_shingles", "node").join(small_side(member, 32), "node", "left")
+    out = base.select("doc_id", "n_shingles", "node", *extra).join(small_side(member, 32), "node", "left")
     component = F.when(F.col("node").isNotNull() & F.col("component").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *extra)
