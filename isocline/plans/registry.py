@@ -1,4 +1,7 @@
 """The registry of named queries over the reference's own operators."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import scalars
+
+_MODULES = (scalars,)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: s for m in _MODULES for name, s in m.SQL.items()}
