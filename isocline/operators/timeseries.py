@@ -65,16 +65,3 @@ def merged_means(parts: DataFrame, keys: Sequence[str], mean: str, count: str) -
 
 def latest_version(df: DataFrame, keys: Sequence[str], *version: str) -> DataFrame:
     return first_by(df, keys, *[F.col(v).desc() for v in version])
-
-
-def mid_rank(value: Column, over: Sequence[str] = ()) -> Column:
-    """The mean of the shares below and not above, of log10(1 + value); null values count 0."""
-    x = F.log10(1 + F.coalesce(value, F.lit(0)))
-    w = Window.partitionBy(*over).orderBy(x)
-    n = F.count("*").over(Window.partitionBy(*over))
-    return ((F.rank().over(w) - 1) / n + F.cume_dist().over(w)) / 2
-
-
-def average_rank(value: str, over: Sequence[str] = ()) -> Column:
-    """Ranks from 1, ties averaged."""
-    return F.rank().over(Window.partitionBy(*over).orderBy(value)) + (F.count("*").over(Window.partitionBy(*over, value)) - 1) / 2

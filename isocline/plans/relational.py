@@ -10,6 +10,7 @@ from ..functions.geo import cell_col, cell_row
 from ..operators import gates
 from ..operators import occurrence as O
 from ..operators import timeseries as T
+from ..operators.ordering import ranked
 from . import fixtures as X
 from .scalars import rounded
 
@@ -155,8 +156,8 @@ def latest_version_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH v AS (SELECT p_partkey, log10(1 + coalesce(p_size, 0)) AS x FROM part) SELECT p_partkey, round(((rank() OVER (ORDER BY x) - 1) / (count(*) OVER ())::DOUBLE + cume_dist() OVER (ORDER BY x)) / 2, 6) AS popularity, round(rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2, 6) AS r FROM v")
 def popularity_mid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mid-rank percentiles and averaged ranks."""
-    p = X.read(spark, sf_dir, "part").select("p_partkey", F.log10(1 + F.coalesce("p_size", F.lit(0))).alias("x"), "p_size")
-    return rounded(p.select("p_partkey", T.mid_rank(F.col("p_size")).alias("popularity"), T.average_rank("x").alias("r")))
+    p = X.read(spark, sf_dir, "part").select("p_partkey", F.log10(1 + F.coalesce("p_size", F.lit(0))).alias("x"))
+    return rounded(ranked(p, "x").select("p_partkey", F.col("mid").alias("popularity"), F.col("rank").alias("r")))
 
 
 _GATE = """
