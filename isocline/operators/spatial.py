@@ -90,7 +90,7 @@ def bilinear(points: DataFrame, grid: DataFrame, key: str, value: str, lat0: flo
     corners = F.array(*[F.struct((F.col("i") + a).alias("gi"), F.pmod(F.col("j") + b, F.lit(wrap)).alias("gj"), ((F.col("v") if a else 1 - F.col("v")) * (F.col("u") if b else 1 - F.col("u"))).alias("w")) for a in (0, 1) for b in (0, 1)])
     spread = p.select(key, F.explode(corners).alias("c")).select(key, "c.gi", "c.gj", "c.w")
     met = spread.join(grid.select("gi", "gj", value), ["gi", "gj"]).where(F.col(value).isNotNull())
-    return met.groupBy(key).agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("value"))
+    return met.groupBy(key).agg(F.try_divide(F.sum(F.col(value) * F.col("w")), F.sum("w")).alias("value"))
 
 
 def kernel_mean(points: DataFrame, cells: DataFrame, key: str, value: str, land: str, length_km: float, least_land: float = 0.05) -> DataFrame:
