@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, small_side
 
 # Spellings that count as one, as (pattern, replacement), in lower case.
 SPELLINGS = (
@@ -69,24 +69,24 @@ def _first_word(text: Column) -> Column:
 def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, digest, licence (of the entire text, or null), line_licences (sorted, of whole lines) of every row.
 
-    known: digest, licence, first (the first word of the canonical form), with distinct digests; Spark broadcasts it if
-    its own measure finds it small, and shuffles both sides otherwise. Of the lines, only those that begin with the first
+    known: digest, licence, first (the first word of the canonical form), with distinct digests; it is broadcast if its
+    counted rows fit the bound, and both sides are shuffled otherwise. Of the lines, only those that begin with the first
     word of a known text are made canonical; no other can match. Texts that are null, empty or without letters and digits
     have a null digest and licence, and no lines. Repeated rows are scanned alike; an empty table gives an empty result.
     Further columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", canonical(text).alias("form"), F.split(text, "\n").alias("lines"))
-    rows = rows.select("doc_id", F.when(F.col("form") != "", F.sha2("form", 256)).alias("digest"), "lines")
     names = {r.digest: (r.licence, r.first) for r in known.collect()}
     of_lines = F.array().cast("array<string>")
     if names:
         lookup = F.create_map(*[F.lit(x) for d, (name, _) in sorted(names.items()) for x in (d, name)])
         starts = sorted({first for _, first in names.values()})
-        likely = F.filter("lines", lambda x: _first_word(x).isin(starts))
+        likely = F.filter(F.split(text, "\n"), lambda x: _first_word(x).isin(starts))
         of_lines = F.array_sort(F.array_distinct(F.filter(F.transform(likely, lambda x: lookup[F.sha2(canonical(x), 256)]), lambda x: x.isNotNull())))
-    found = rows.join(known.select("digest", "licence"), "digest", "left")
-    return found.select("doc_id", "digest", "licence", of_lines.alias("line_licences"))
+    rows = docs.select("doc_id", canonical(text).alias("form"), of_lines.alias("line_licences"))
+    rows = rows.select("doc_id", F.when(F.col("form") != "", F.sha2("form", 256)).alias("digest"), "line_licences")
+    found = rows.join(small_side(known.select("digest", "licence"), 128), "digest", "left")
+    return found.select("doc_id", "digest", "licence", "line_licences")
 
 
 def _sql() -> str:
