@@ -23,7 +23,8 @@ SPELLINGS = (
     (r"\bgnu general public license\b", "gpl"),
     (r"\bversion (\d)", "v$1"),
 )
-COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+# A notice, not a line that a sentence on copyright happens to begin.
+COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright[ \t]*(\(c\)|©|:|by\b|[0-9])|\(c\)|©|all rights reserved)[^\n]*$"
 
 # Short public licence texts and customary notices, by SPDX identifier.
 KNOWN = (
