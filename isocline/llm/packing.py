@@ -24,8 +24,11 @@ from .common import key_groups, slices, staged
 GROUP = 16_384
 
 
-def vector_best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float] = (1.0, 0.05, 0.05), rule: str = "norm") -> np.ndarray:
-    """The bin of each piece. Pieces of the whole token capacity or more have a bin of their own."""
+def vector_best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float] | None = None, rule: str = "norm") -> np.ndarray:
+    """The bin of each piece. Pieces of the whole token capacity or more have a bin of their own.
+
+    Without weights, a capacity weighs as much as it is asked for on average.
+    """
     caps = np.array(capacity, float)
     size = lengths.astype(float)
     need = np.stack([size, np.ones(len(size)), size * size], axis=1) / caps
@@ -39,7 +42,7 @@ def vector_best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights
     smallest = need[rest].min(axis=0)
     left = np.ones((len(rest), 3))
     names = np.empty(len(rest), np.int64)
-    w = np.array(weights)
+    w = np.array(weights) if weights else need[rest].mean(axis=0) / need[rest].mean(axis=0).max()
     slack, opened, used = 1e-12, 0, len(whole)
     for i in rest.tolist():
         x = need[i]
@@ -83,7 +86,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 1, most_docs: int | None = None, most_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), rule: str = "norm") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 1, most_docs: int | None = None, most_cost: int | None = None, weights: tuple[float, float, float] | None = None, rule: str = "norm") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Without most_docs and most_cost, those two capacities are as large as a sequence can need, and only choose.
