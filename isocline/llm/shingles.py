@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ import unicodedata
 import numpy as np
 
 #: Parts of a generation that a Python worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 350_000, 64
+REMEMBERED, LONGEST = 180_000, 64
 
 
 def load(path: str):
