@@ -154,7 +154,12 @@ def make_model(name: str, features: Sequence[str], label: str, seed: int = 0):
 
 
 def fit(df: DataFrame, name: str, features: Sequence[str], label: str, seed: int = 0):
-    return make_model(name, features, label, seed).fit(df.withColumn("_weight", balanced_weight(label, df)))
+    """A model of the family; training rows are bounded by their sampling and are kept in few partitions while trees grow."""
+    train = df.select(*features, label).coalesce(2).cache()
+    try:
+        return make_model(name, features, label, seed).fit(train.withColumn("_weight", balanced_weight(label, train)))
+    finally:
+        train.unpersist()
 
 
 def score(model, df: DataFrame) -> DataFrame:
