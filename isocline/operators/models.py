@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,6 +186,31 @@ def cross_validated(df: DataFrame, name: str, features: Sequence[str], label: st
     return out
 
 
+def boosted_folds(df: DataFrame, features: Sequence[str], label: str, fold: str, key: str, by: str | None = None, least: tuple[int, int, int] = (3, 10, 3), **settings) -> DataFrame:
+    """Out-of-fold scores of boosted trees: by, fold, key, label, raw. Every fold of every group is a task of its own.
+
+    Training rows are copied once for each fold, so a group is to be a bounded sample of presences and background.
+    """
+    from ..functions.boost import BoostedTrees
+
+    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
+    group = [by] if by else []
+    rows = df.select(*group, key, fold, label, *features)
+    copies = rows.withColumn("_held", F.explode(F.array(*map(F.lit, folds))))
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*group, fold, key, label)) + ", raw double"
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        inside = part[fold] == part["_held"]
+        test, train = part[inside], part[~inside]
+        if test[label].sum() < least[0] or (1 - test[label]).sum() < least[2] or train[label].sum() < least[1]:
+            return test.head(0)[[*group, fold, key, label]].assign(raw=0.0)
+        model = BoostedTrees(**settings).fit(train[list(features)].to_numpy(float), train[label].to_numpy())
+        return test[[*group, fold, key, label]].assign(raw=model.raw(test[list(features)].to_numpy(float)))
+
+    return copies.groupBy(*group, "_held").applyInPandas(run, schema)
+
+
 def model_vote(df: DataFrame, by: Sequence[str], code: str, novel: Column, at: int = 44, share: float = 0.5) -> DataFrame:
     """by, median code, agreement in fifteenths, novelty vote over the models of a cell."""
     n = F.count("*")

@@ -338,7 +338,7 @@ def block_fold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_gbt_presence_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated skill of boosted trees in spatial blocks."""
     f = D.block_folds(presence_background(spark, sf_dir), "x", "y", 200.0, F.col("present") == 1, folds=3)
-    cv = D.cross_validated(f, "gbm", ["a", "b"], "present", "fold")
+    cv = D.boosted_folds(f, ["a", "b", "c"], "present", "fold", "cell")
     return rounded(D.auc(cv, "raw", F.col("present") == 1, ["fold"]), 4)
 
 
