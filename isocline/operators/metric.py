@@ -33,33 +33,42 @@ def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         yield pd.concat(held)
 
 
+def _meeting(targets: DataFrame, pool: DataFrame) -> DataFrame:
+    """Rows of targets (side 0) and pool (side 1) sorted by block and slice, so that each pair of rows meets once."""
+    blocks = max(1, -(-targets.count() // BLOCK))
+    slices = max(1, -(-pool.count() // SLICE))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vec = F.col("vec").cast("array<double>")
+    m = F.col("m") if "m" in targets.columns else F.lit(None).cast("array<double>")
+    weight = F.col("weight").cast("double") if "weight" in pool.columns else F.lit(1.0)
+    t = targets.select(F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int").alias("block"), spread(slices).alias("slice"), F.lit(0).alias("side"), F.col("target").cast("long").alias("id"), vec.alias("vec"), m.alias("m"), F.lit(0.0).alias("weight"))
+    p = pool.select(spread(blocks).alias("block"), F.pmod(F.xxhash64("near"), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("side"), F.col("near").cast("long").alias("id"), vec.alias("vec"), F.lit(None).cast("array<double>").alias("m"), weight.alias("weight"))
+    return t.unionByName(p).repartition("block", "slice").sortWithinPartitions("block", "slice", "side", "id")
+
+
+def _distances(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each target with the ids, weights and squared distances of its group's pool rows."""
+    a, b = group[group.side == 0], group[group.side == 1]
+    if a.empty or b.empty:
+        return
+    rows, ids, weights = np.stack(b.vec.to_numpy()), b.id.to_numpy(), b.weight.to_numpy()
+    for target, vector, matrix in zip(a.id, a.vec, a.m, strict=True):
+        d = rows - np.asarray(vector)
+        if matrix is not None:
+            d = d @ np.asarray(matrix).reshape(d.shape[1], -1)
+        yield target, ids, weights, np.einsum("ij,ij->i", d, d)
+
+
 def nearest_rows(targets: DataFrame, pool: DataFrame, k: int = 1, exclude_same: bool = True) -> DataFrame:
     """(target, near, distance, place) of the k nearest pool rows: targets (target, vec, [m]), pool (near, vec).
 
     m, if there, is the target's own metric, a row-major square matrix. A target doesn't meet the pool row of its own id if
     exclude_same. Ties go to the smaller id; distances are float64.
     """
-    own = "m" in targets.columns
-    blocks = max(1, -(-targets.count() // BLOCK))
-    slices = max(1, -(-pool.count() // SLICE))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    vec = F.col("vec").cast("array<double>")
-    m = F.col("m") if own else F.lit(None).cast("array<double>")
-    t = targets.select(F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int").alias("block"), spread(slices).alias("slice"), F.lit(0).alias("side"), F.col("target").cast("long").alias("id"), vec.alias("vec"), m.alias("m"))
-    p = pool.select(spread(blocks).alias("block"), F.pmod(F.xxhash64("near"), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("side"), F.col("near").cast("long").alias("id"), vec.alias("vec"), F.lit(None).cast("array<double>").alias("m"))
-    met = t.unionByName(p).repartition("block", "slice").sortWithinPartitions("block", "slice", "side", "id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _groups(frames, ["block", "slice"]):
-            a, b = group[group.side == 0], group[group.side == 1]
-            if a.empty or b.empty:
-                continue
-            rows, ids = np.stack(b.vec.to_numpy()), b.id.to_numpy()
-            for target, vector, matrix in zip(a.id, a.vec, a.m, strict=True):
-                d = rows - np.asarray(vector)
-                if matrix is not None:
-                    d = d @ np.asarray(matrix).reshape(d.shape[1], -1)
-                distance = np.einsum("ij,ij->i", d, d)
+            for target, ids, _, distance in _distances(group):
                 if exclude_same:
                     distance = np.where(ids == target, np.inf, distance)
                 n = min(k, len(ids))
@@ -68,11 +77,24 @@ def nearest_rows(targets: DataFrame, pool: DataFrame, k: int = 1, exclude_same:
                 some = some[np.lexsort((ids[some], distance[some]))][:n]
                 yield pd.DataFrame({"target": target, "near": ids[some], "d2": distance[some]})
 
-    best = met.mapInPandas(run, "target long, near long, d2 double")
+    best = _meeting(targets, pool).mapInPandas(run, "target long, near long, d2 double")
     place = F.row_number().over(Window.partitionBy("target").orderBy("d2", "near"))
     return best.withColumn("place", place).where(F.col("place") <= k).select("target", "near", F.sqrt("d2").alias("distance"), "place")
 
 
+def area_within(targets: DataFrame, pool: DataFrame, limit: float) -> DataFrame:
+    """(target, cells, area): pool rows nearer than the limit and their weights' sum, summed where they meet."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(frames, ["block", "slice"]):
+            rows = [(t, int((d < limit * limit).sum()), float(w[d < limit * limit].sum())) for t, _, w, d in _distances(group)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["target", "cells", "area"])
+
+    parts = _meeting(targets, pool).mapInPandas(run, "target long, cells long, area double")
+    return parts.groupBy("target").agg(F.sum("cells").alias("cells"), F.sum("area").alias("area"))
+
+
 def spaced_sites(candidates: DataFrame, key: str, n: int, km: float) -> DataFrame:
     """(key, pick, near, distance): greedily the nearest candidates at least so far from those picked; a group at a time.
 

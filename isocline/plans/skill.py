@@ -56,11 +56,7 @@ def analog_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_MEANS} SELECT CAST(target AS BIGINT) AS target, count(*) FILTER (d < 1.0::DOUBLE) AS cells, CAST(coalesce(sum(near % 7 + 1) FILTER (d < 1.0::DOUBLE), 0) AS DOUBLE) AS area FROM dist GROUP BY 1")
 def analog_area_under_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area of the pool within a distance of each target."""
-    p = pool(spark, sf_dir)
-    near = M.nearest_rows(label_means(spark, sf_dir), p, k=1_000_000, exclude_same=False).where("distance < 1.0")
-    found = near.groupBy("target").agg(F.count("*").alias("cells"), F.sum(F.col("near") % 7 + 1.0).alias("area"))
-    every = label_means(spark, sf_dir).select(F.col("target").cast("long").alias("target"))
-    return rounded(every.join(found, "target", "left").select("target", F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce("area", F.lit(0.0)).alias("area")))
+    return rounded(M.area_within(label_means(spark, sf_dir), pool(spark, sf_dir).withColumn("weight", F.col("near") % 7 + 1), 1.0))
 
 
 _SHARE = f"""
