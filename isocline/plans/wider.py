@@ -191,7 +191,7 @@ def random_direction_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def seedling_adult_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shifts from adults to seedlings over blocks with enough plots."""
-    c = X.cells(spark, sf_dir).withColumn("cluster", F.floor(F.col("grid_row") / 24) * 1000 + F.floor(F.col("grid_col") / 24))
+    c = X.cells(spark, sf_dir).withColumn("cluster", F.floor(F.col("grid_row") / 100) * 1000 + F.floor(F.col("grid_col") / 100))
     blocks = c.groupBy("cluster").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.lit(1.0).alias("km2"), F.bool_or("now").alias("now"), F.bool_or("later").alias("later"), F.count("*").alias("n")).where("n >= 8").withColumn("test", F.lit("all"))
     return rounded(R.resampled_shift(blocks, "test", n=200))
 
