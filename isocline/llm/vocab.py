@@ -1,6 +1,6 @@
 """Tokenizing whole texts with a public vocabulary, by memory of the space-separated parts met before.
 
-The memory is only a cache: it is emptied when full, and what it doesn't hold is tokenized by the library's own parts.
+The memory is only a cache: it forgets the older parts when full, and what it doesn't hold is tokenized by the library's own parts.
 """
 
 from __future__ import annotations
@@ -8,12 +8,11 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 import unicodedata
 
-import numpy as np
-
 #: Parts of a generation that a Python worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 180_000, 64
+REMEMBERED, LONGEST = 240_000, 64
 
 
 def load(path: str):
@@ -89,16 +88,24 @@ class TokenCounter:
         return total if total >= 0 else self._pieces(text)
 
 
+def _byte_letters() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
 class WordEncoder:
     """Ids of a vocabulary that composes, lower-cases and drops white space, so that its words are independent; as little-endian bytes.
 
-    A mark after a letter and before white space is a pre-token of its own, and is set apart to keep the parts few.
+    Letters, and marks after them, are pre-tokens by themselves; other parts are cut by the library.
     """
 
-    MARKS = re.compile(r"(?<=[a-zß-öø-ÿ])([.,]|[*$%&#|!]+[.,]?)(?=\s|$)")
     LETTERS = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
+    MARKED = re.compile(r"([a-zß-öø-ÿ]+)([.,]|[*$%&#|!]+[.,]?)").fullmatch
     #: Where Python's white space or lower case differ from the library's, or a special token may stand.
     ODD = ("Σ", "<|", "\x1c", "\x1d", "\x1e", "\x1f")
+    BYTES = _byte_letters()
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
@@ -106,14 +113,23 @@ class WordEncoder:
         self.cut, self.merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
 
     def _part(self, part: str) -> bytes:
-        words = [part] if part.isascii() and self.LETTERS(part) else [w for w, _ in self.cut(part)]
-        return np.array([t.id for w in words for t in self.merge(w)], "<u4").tobytes()
+        if self.LETTERS(part):
+            words = [part if part.isascii() else part.encode().decode("latin-1").translate(self.BYTES)]
+        elif marked := self.MARKED(part):
+            return self.parts[marked[1]] + self.parts[marked[2]]
+        else:
+            words = [w for w, _ in self.cut(part)]
+        return _packed([t.id for w in words for t in self.merge(w)])
 
     def ids(self, text: str) -> bytes:
         if any(x in text for x in self.ODD):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
-        return b"".join(map(self.parts.__getitem__, self.MARKS.sub(r" \1", text.lower()).split()))
+        return b"".join(map(self.parts.__getitem__, text.lower().split()))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @functools.cache
