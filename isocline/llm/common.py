@@ -20,6 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 8 << 20
 #: Texts are handled in slices of about so many bytes, whatever the size of Arrow's batches.
 SLICE_BYTES = 4 << 20
+_STAGED: list[str] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,16 +38,28 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written as a table to the shared folder and read again: a lost executor costs no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._isocline_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _STAGED.remove(path)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a table of staged() that no later plan reads."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._isocline_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._isocline_path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete all stage tables of this driver: for long sessions, once their results are written."""
+    for path in list(_STAGED):
+        _delete(spark, path)
 
 
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
