@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import ranked, running_totals
@@ -46,9 +46,10 @@ def boyce(df: DataFrame, score: str, present: Column, windows: int = 100, width:
     inside = spread.where((F.col(score) >= low) & (F.col(score) <= low + width))
     whole = df.where(F.col(score).isNotNull()).agg(F.count("*").alias("ne"), F.sum(hit).alias("np"))
     ratio = inside.groupBy("w").agg(F.sum("p").alias("p"), F.sum("e").alias("e")).join(F.broadcast(whole)).select("w", "np", F.try_divide(F.col("p") / F.col("e") * F.col("ne"), F.col("np")).alias("f"))
-    rf = ranked(ratio.withColumn("f", F.round("f", 12)), "f").withColumnRenamed("rank", "rf").drop("below", "upto", "mid")
-    rw = ranked(rf, "w").withColumnRenamed("rank", "rw")
-    return rw.agg(F.when((F.max("np") >= 5) & (F.count("*") >= 5) & (F.stddev_pop("rf") > 0), F.corr("rf", "rw")).alias("boyce"))
+    # The table has at most as many rows as there are windows.
+    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
+    r = ratio.withColumn("f", F.round("f", 12)).select("np", rank("f").alias("rf"), rank("w").alias("rw"))
+    return r.agg(F.when((F.max("np") >= 5) & (F.count("*") >= 5) & (F.stddev_pop("rf") > 0), F.corr("rf", "rw")).alias("boyce"))
 
 
 def percentile_of(df: DataFrame, reference: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
