@@ -98,6 +98,9 @@ def near_vectors(table: DataFrame, least: float = 0.98) -> DataFrame:
     x = F.col("embedding").cast("array<double>")
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
     rows = with_copies(table.select("vec_id", "label", F.when(finite(F.col("embedding")), x).alias("x")), "x")
+    # Scaled by the largest component, so that squares neither overflow nor vanish.
+    largest = F.array_max(F.transform("x", lambda v: F.abs(v)))
+    rows = rows.withColumn("top", largest).withColumn("x", F.when(F.col("top") > 0, F.transform("x", lambda v: v / F.col("top"))).otherwise(F.col("x")))
     rows = rows.withColumn("length", F.when(F.col("x").isNotNull() & F.col("label").isNotNull(), length))
     scaled = F.when(F.col("length") > 0, F.transform("x", lambda v: v / F.col("length")))
     rows = staged(rows.select("vec_id", "copy", "label", F.struct(F.col("vec_id"), F.col("copy")).alias("node"), scaled.alias("unit")), "vectors")

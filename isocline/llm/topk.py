@@ -41,7 +41,7 @@ def search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.nd
     """
     length, reach = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
     if len(vectors) and len(queries) and length.max() * reach.max() >= 2.0**53:
-        vectors, queries = (x.astype(np.int64).astype(object) for x in (vectors, queries))
+        vectors, queries = (np.frompyfunc(int, 1, 1)(x) for x in (vectors, queries))
     order = np.argsort(-length, kind="stable")
     place = {(int(a), int(b)): i for i, (a, b) in enumerate(own)}
     least = np.full(len(queries), -np.inf)
@@ -96,6 +96,14 @@ def search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.nd
     return held
 
 
+def _longs(score: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit integers; those beyond stand at the ends of the range."""
+    if score.dtype != object:
+        return score.astype(np.int64)
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    return np.array([min(high, max(low, int(s))) for s in score], np.int64)
+
+
 def _range(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
@@ -104,8 +112,8 @@ def top_inner_products(table: DataFrame, k: int = 20, every: int = 20, scale: in
     """query_id, rank (from 1), vec_id, score of the k best rows for every row whose vec_id is divisible by `every`.
 
     Components are floor(scale * x) of the double x, and scores integer inner products. Vectors that are null, empty, or
-    hold null or non-finite components take no part; vectors of different lengths never meet. Ties go to the smaller
-    vec_id, null ids last. Of repeated rows each is a query and a candidate of the others. An empty table gives an empty
+    hold null or non-finite components take no part; vectors of different lengths never meet. Components and
+    scores beyond 64 bits stand at the ends of that range. Ties go to the smaller vec_id, null ids last. Of repeated rows each is a query and a candidate of the others. An empty table gives an empty
     result. Further columns are not read.
     """
     whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))
@@ -128,7 +136,7 @@ def top_inner_products(table: DataFrame, k: int = 20, every: int = 20, scale: in
                 continue
             query, vector, score = search(v[q], names[q], v[c], ids[c], names[c], k)
             found = ids[c][vector]
-            yield pa.RecordBatch.from_arrays([pa.array(names[q][query, 0]), pa.array(names[q][query, 1]), pa.array(found, pa.int64(), mask=found == _NULL), pa.array(score.astype(np.int64))], ["query_id", "copy", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[q][query, 0]), pa.array(names[q][query, 1]), pa.array(found, pa.int64(), mask=found == _NULL), pa.array(_longs(score), pa.int64())], ["query_id", "copy", "vec_id", "score"])
 
     met = left.unionByName(right).repartition("dim", "block", "slice").sortWithinPartitions("dim", "block", "slice", "side", "vec_id", "copy")
     best = met.mapInArrow(run, "query_id long, copy long, vec_id long, score long")

@@ -103,3 +103,11 @@ def test_recall_on_the_check_table(spark):
     want = int((np.triu(same >= 0.98, 1)).sum())
     got = sum(r.n_links for r in near_vectors(spark.createDataFrame(table, SCHEMA)).collect()) // 2
     assert want > 1000 and got >= 0.97 * want
+
+
+def test_huge_and_tiny_components(spark):
+    table = [(0, [1e300, 1.0], 1, "c"), (20, [2e300, 2.0], 1, "c"), (3, [1e-200, 1e-200], 1, "c"), (40, [1.0, 1.0], 1, "c")]
+    df = spark.createDataFrame(table, SCHEMA.replace("float", "double"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()} == {0: (1, 0), 20: (1, 0), 3: (1, 3), 40: (1, 3)}
+    best = {r.query_id: (r.vec_id, r.score) for r in top_inner_products(df, k=1).collect()}
+    assert best[0] == (20, 2**63 - 1) and best[40][0] in (0, 20)
