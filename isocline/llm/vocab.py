@@ -59,10 +59,20 @@ def lone_tokens(tokenizer) -> frozenset[str]:
     return frozenset(v for (v, t), e in zip(texts.items(), found, strict=True) if e.ids == [strings[v]] and [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(t)] == [v])
 
 
+def _byte_letters() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
 class TokenCounter:
     """Counts tokens of a byte-level vocabulary: lone pre-tokens directly, by merges only the rest."""
 
     ELSEWHERE = -(1 << 60)
+    LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+    MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]|[!*$%&#|]+[.,]?)").fullmatch
+    BYTES = _byte_letters()
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
@@ -76,7 +86,15 @@ class TokenCounter:
 
     def _spaced(self, part: str) -> int:
         # Where white space follows a space, the pattern's look-ahead makes the cut depend on both sides.
-        return self.ELSEWHERE if not part or part[0].isspace() else self._pieces(" " + part)
+        if not part or part[0].isspace():
+            return self.ELSEWHERE
+        # A space with letters, and marks after them, are pre-tokens by themselves.
+        if self.LETTERS(part):
+            word = (" " + part).encode().decode("latin-1").translate(self.BYTES)
+            return 1 if word in self.lone else len(self.tokenizer.model.tokenize(word))
+        if marked := self.MARKED(part):
+            return self.spaced[marked[1]] + (1 if marked[2] in self.lone else self.merged[marked[2]])
+        return self._pieces(" " + part)
 
     def count(self, text: str) -> int:
         if any(s in text for s in self.special):
@@ -88,13 +106,6 @@ class TokenCounter:
         return total if total >= 0 else self._pieces(text)
 
 
-def _byte_letters() -> dict[int, int]:
-    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in plain]
-    return {b: 256 + k for k, b in enumerate(others)}
-
-
 class WordEncoder:
     """Ids of a vocabulary that composes, lower-cases and drops white space, so that its words are independent; as little-endian bytes.
 
