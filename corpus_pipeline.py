@@ -21,8 +21,8 @@ from isocline.llm.secrets import redacted, scan_secrets
 
 #: A hash of all columns, beside doc_id: rows of one doc_id but other contents are told apart by it.
 KEY = "_row_key"
-#: Bytes of a broadcast row of doc_id and key.
-KEY_BYTES = 32
+#: Bytes of a broadcast row of doc_id and key in a hashed relation.
+KEY_BYTES = 128
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of at most so many bytes are broadcast; their rows are counted first.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
 #: Texts are handled in slices of about so many bytes, whatever the size of Arrow's batches.
 SLICE_BYTES = 4 << 20
 _STAGED: list[str] = []
@@ -63,7 +63,7 @@ def clear_stages(spark: SparkSession) -> None:
 
 
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, marked for broadcast only if its counted rows fit the bound; else Spark shuffles, and AQE splits hot keys."""
+    """df, marked for broadcast only if its counted rows, of row_bytes each in a hashed relation, fit the bound; else Spark shuffles, and AQE splits hot keys."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 

@@ -86,7 +86,7 @@ def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
         of_lines = F.array_sort(F.array_distinct(F.filter(F.transform(likely, lambda x: lookup[F.sha2(canonical(x), 256)]), lambda x: x.isNotNull())))
     rows = docs.select("doc_id", canonical(text).alias("form"), of_lines.alias("line_licences"))
     rows = rows.select("doc_id", F.when(F.col("form") != "", F.sha2("form", 256)).alias("digest"), "line_licences")
-    found = rows.join(small_side(known.select("digest", "licence"), 128), "digest", "left")
+    found = rows.join(small_side(known.select("digest", "licence"), 300), "digest", "left")
     return found.select("doc_id", "digest", "licence", "line_licences")
 
 

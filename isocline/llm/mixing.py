@@ -125,7 +125,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *extra)
     sizes = staged(sizes, "sizes")
     targets = staged(source_targets(sizes, weights, share, most), "targets")
-    side = small_side(targets.withColumnRenamed("source", "of"), 64)
+    side = small_side(targets.withColumnRenamed("source", "of"), 160)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sizes.join(side, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("rate", rate)
     rows = rows.withColumn("base", F.floor("rate")).withColumn("p", F.col("rate") - F.col("base"))

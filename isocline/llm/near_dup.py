@@ -147,9 +147,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     size = loose.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     wanted = loose.join(size, "root").join(nodes.select("node", "rep"), "node").select(F.col("root").alias("loose"), "node", "rep", "blocks")
     wanted = staged(wanted, "wanted")
-    asked = small_side(wanted.select(F.col("rep").alias("doc_id")).distinct(), 8)
+    asked = small_side(wanted.select(F.col("rep").alias("doc_id")).distinct(), 64)
     sets = text.join(asked, text.doc_id.eqNullSafe(asked.doc_id), "left_semi").mapInArrow(_sets(words), "doc_id long, node binary, shingles binary")
-    sets = sets.join(small_side(wanted, 56), "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("loose", "node", "blocks", "shingles")
+    sets = sets.join(small_side(wanted, 200), "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("loose", "node", "blocks", "shingles")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     sets = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.select("loose", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "shingles")
@@ -161,6 +161,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     whole = nodes.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = whole.groupBy("root").agg(F.min("rep").alias("component"), F.sum("copies").alias("rows")).where("rows > 1")
     member = staged(whole.join(lowest, "root").select("node", "component"), "members")
-    out = base.select("doc_id", "n_shingles", "node", *extra).join(small_side(member, 32), "node", "left")
+    out = base.select("doc_id", "n_shingles", "node", *extra).join(small_side(member, 120), "node", "left")
     component = F.when(F.col("node").isNotNull() & F.col("component").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *extra)
