@@ -164,6 +164,17 @@ def fit(df: DataFrame, name: str, features: Sequence[str], label: str, seed: int
         train.unpersist()
 
 
+def save(model, path: str) -> None:
+    """Keep a fitted pipeline; an existing one of that name is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def score(model, df: DataFrame) -> DataFrame:
     """df with a column `raw`."""
     from pyspark.ml.functions import vector_to_array

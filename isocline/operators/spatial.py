@@ -134,3 +134,18 @@ def outline(cells: DataFrame) -> DataFrame:
 
 def inverted(mask: DataFrame, whole: DataFrame) -> DataFrame:
     return whole.join(mask, ["grid_row", "grid_col"], "left_anti")
+
+
+def box_pixels(cells: DataFrame, n: int) -> DataFrame:
+    """pixel_row, pixel_col of the n by n finer pixels of each cell, beside the cell's columns."""
+    at = cells.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
+    out = at.withColumn("pixel_row", (F.col("grid_row") * n + F.floor(F.col("_k") / n)).cast("int"))
+    return out.withColumn("pixel_col", (F.col("grid_col") * n + F.col("_k") % n).cast("int")).drop("_k")
+
+
+def pyramid_level(height: Column, width: Column, wanted: int, factors: Sequence[int] = (8, 4, 2, 1)) -> Column:
+    """The coarsest factor at which a view still has so many cells along its longer side; the finest one otherwise."""
+    out = F.lit(factors[-1])
+    for f in reversed(factors[:-1]):
+        out = F.when(F.greatest(height, width) / f >= wanted, F.lit(f)).otherwise(out)
+    return out

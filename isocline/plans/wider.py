@@ -309,3 +309,28 @@ def virtual_species_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = D.score(D.fit(p, "glm", ["a", "b"], "present"), p)
     truth = scored.withColumn("truth", F.col("niche") >= 0.5).withColumn("predicted", F.col("raw") >= 0.6).withColumn("km2", F.lit(1.0)).withColumn("all", F.lit("one"))
     return rounded(R.agreement(truth, ["all"], "predicted", "truth"), 2)
+
+
+@query(f"WITH {X.CELLS_SQL}, b AS (SELECT cell_id, CAST(grid_row // 6 AS INT) AS r, CAST(grid_col // 6 AS INT) AS c, grid_row, grid_col, score FROM cells), boxes AS (SELECT DISTINCT r, c FROM b WHERE cell_id % 10 = 0), px AS (SELECT r, c, r * 6 + i AS pr, c * 6 + j AS pc FROM boxes, range(0, 6) t(i), range(0, 6) s(j)) SELECT px.r, px.c, round(avg(score), 6) AS mean, count(score) AS n FROM px LEFT JOIN b ON pr = grid_row AND pc = grid_col GROUP BY 1, 2")
+def box_pixel_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over the 6 by 6 pixels of coarse cells."""
+    c = X.cells(spark, sf_dir)
+    coarse = [F.floor(F.col(n) / 6).cast("int").alias(n) for n in ("grid_row", "grid_col")]
+    boxes = S.box_pixels(c.where("cell_id % 10 = 0").select(*coarse).distinct(), 6)
+    fine = c.select(F.col("grid_row").alias("pixel_row"), F.col("grid_col").alias("pixel_col"), "score")
+    met = boxes.join(fine, ["pixel_row", "pixel_col"], "left")
+    return rounded(met.groupBy(F.col("grid_row").alias("r"), F.col("grid_col").alias("c")).agg(F.avg("score").alias("mean"), F.count("score").alias("n")))
+
+
+@query("WITH w AS (SELECT CAST(y AS INT) AS start FROM (VALUES (1970), (2000)) t(y)), v AS (SELECT unnest(['tmax', 'tmin', 'ppt', 'vap']) AS variable), j AS (SELECT variable, start, CAST(start + k AS INT) AS year FROM v, w, range(0, 30) r(k)) SELECT variable, start, year, CAST((year - start) // 5 AS INT) AS part FROM j")
+def job_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variable-years of two windows, dealt to parts: a plan's fixed grid."""
+    j = spark.range(1).select(F.explode(F.array(*map(F.lit, ("tmax", "tmin", "ppt", "vap")))).alias("variable")).withColumn("start", F.explode(F.array(F.lit(1970), F.lit(2000)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(29))))
+    return j.select("variable", "start", (F.col("start") + F.col("k")).alias("year"), F.floor(F.col("k") / 5).cast("int").alias("part"))
+
+
+@query("SELECT c_custkey AS k, CAST(CASE WHEN greatest(c_custkey % 3000, c_custkey * 7 % 2000) / 8.0::DOUBLE >= 200 THEN 8 WHEN greatest(c_custkey % 3000, c_custkey * 7 % 2000) / 4.0::DOUBLE >= 200 THEN 4 WHEN greatest(c_custkey % 3000, c_custkey * 7 % 2000) / 2.0::DOUBLE >= 200 THEN 2 ELSE 1 END AS INT) AS factor FROM customer")
+def pyramid_level_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coarsest level that still fills a view (Q12)."""
+    k = F.col("c_custkey")
+    return X.read(spark, sf_dir, "customer").select(k.alias("k"), S.pyramid_level(k % 3000, k * 7 % 2000, 200).alias("factor"))

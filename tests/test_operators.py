@@ -170,3 +170,13 @@ def test_patches_wrap_no_corners(spark, monkeypatch, side):
 def test_first_fit_and_config():
     assert D.first_fit([("a", 5), ("b", 6), ("c", 4), ("d", 5)], 10) == [("b", 1), ("a", 2), ("d", 2), ("c", 1)]
     assert config({"grid": {"min_lat": -50.0}})["grid"]["min_lat"] == -50.0 and config()["grid"]["min_lat"] == -60.0
+
+
+def test_model_round_trip(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = rng.random((400, 2))
+    df = spark.createDataFrame(pd.DataFrame({"cell": range(400), "a": x[:, 0], "b": x[:, 1], "present": (x[:, 0] > 0.5).astype(int)}))
+    model = D.fit(df, "glm", ["a", "b"], "present")
+    D.save(model, str(tmp_path / "m"))
+    one_, two = (sorted((r.cell, round(r.raw, 9)) for r in D.score(m, df).collect()) for m in (model, D.load(str(tmp_path / "m"))))
+    assert one_ == two
