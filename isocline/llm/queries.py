@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, url_filter, vocab
+from . import licences, sql, url_filter, vocab
 from .mixing import mix
 from .near_dup import near_duplicates
 from .packing import pack
@@ -73,4 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_vectors": op9_near_vectors,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": url_filter.ORACLE, "op4_licence_scan": licences.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": url_filter.ORACLE,
+    "op4_licence_scan": licences.ORACLE,
+    "op8_top_inner_products": sql.TOP_INNER_PRODUCTS,
+    "op9_near_vectors": sql.NEAR_VECTORS,
+    "op10_near_duplicates": sql.NEAR_DUPLICATES,
+}
