@@ -68,7 +68,8 @@ def search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.nd
                 c = heavy[steep, f]
                 x = unit[steep, c].astype(float)
                 half = np.sqrt(np.maximum(0.0, (1 - t * t) * (1 - x * x))) + 1e-9
-                mask &= (shares[:, c].T >= (x * t - half)[:, None]) & (shares[:, c].T <= np.where(x >= t, 1.0, x * t + half)[:, None] + 1e-9)
+                low, high = np.where(x <= -t, -1.0, x * t - half), np.where(x >= t, 1.0, x * t + half)
+                mask &= (shares[:, c].T >= low[:, None] - 1e-9) & (shares[:, c].T <= high[:, None] + 1e-9)
             i, j = np.nonzero(mask)
             found.append((steep[i], some[j], (queries[steep[i]] * block[j]).sum(axis=1)))
         if len(flat):  # by length: the bucket's vectors are sorted, so that a prefix is long enough

@@ -57,6 +57,25 @@ def test_pruned_search_is_exact():
     assert len(big[2]) == 12
 
 
+def test_pruned_search_with_a_negative_heavy_coordinate():
+    """Over one bucket of vectors, ruled by one negative coordinate: rows beyond the query's own share are candidates."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 64)) * 0.05
+    x[:, 0] = -1
+    x[:2000] = rng.normal(size=(2000, 64)) * 0.2
+    x[:2000, 0] = -1
+    length = np.r_[rng.uniform(1.0, 1.3, 2000), rng.uniform(0.7, 1.0, 10_000)]
+    x = np.floor(x / np.linalg.norm(x, axis=1)[:, None] * length[:, None] * 640)
+    q, ids = np.arange(0, 12_000, 20), np.arange(12_000)
+    names = np.stack([ids, np.ones(12_000, int)], axis=1)
+    query, vector, score = search(x[q], names[q], x, ids, names, 20)
+    products = x[q] @ x.T
+    products[np.arange(len(q)), q] = -np.inf
+    for k in range(len(q)):
+        best = np.lexsort((ids, -products[k]))[:20]
+        assert vector[query == k].tolist() == best.tolist() and score[query == k].tolist() == products[k, best].tolist()
+
+
 def brute_links(table, least=0.98):
     n = len(table)
     ok = [usable(v) and any(v) and label is not None for _, v, label, _ in table]
