@@ -1,13 +1,15 @@
-"""Embedding near-duplicates by a pivot-permutation index.
+"""Embedding near-duplicates by a pivot index, exactly.
 
-Each vector is described by the order of its nearest reference points (pivots). It stands in the inverted lists of its
-first LISTS pivots, within its label; two vectors of a list whose first PREFIX pivots share enough members are verified by
-their cosine. A pair is counted in the list of its smallest common pivot only. Long lists are cut into blocks that meet
-pairwise. Links are counted where they are found: a list gives one row per linked vector and a spanning forest.
+Each vector is at home in the inverted list of its nearest reference point (pivot), within its label. It is also a guest
+in the lists of those smaller pivots in whose cell a linked vector may lie: the distance of two linked vectors bounds how
+far one can be from the border of the other's cell, so no link is missed. Homes meet homes and guests, in blocks, and are
+verified by their cosine; a pair meets once. Pivots keep a distance from each other, so that a dense region has few.
+Links are counted where they are found: a task gives one row per linked vector and a spanning forest.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,70 +17,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_groups, staged
+from .common import key_groups, small_side, staged
 from .components import connected_components
 from .vectors import finite, matrix, with_copies
 
-#: Pivots are a sample of the vectors: one for every so many, within these bounds (the index's documented bound).
-VECTORS_A_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 400, 64, 1024
-LISTS, PREFIX, SHARED = 8, 12, 3
-BLOCK = 2048
+#: Vectors of a block (on average). Pivots: one for every so many vectors of the largest label, up to MOST_PIVOTS; so many
+#: sampled vectors are looked at for each. Their number changes the work, never the links.
+BLOCK, MOST_PIVOTS, LOOKED_AT = 8192, 256, 8
 
 
-def permutations(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The nearest pivots of each vector, nearest first; ties go to the smaller pivot."""
-    close = unit @ pivots.T
-    k = min(PREFIX, close.shape[1])
-    part = np.argpartition(-close, k - 1, axis=1)[:, :k] if k < close.shape[1] else np.tile(np.arange(k), (len(unit), 1))
-    order = np.lexsort((part, -np.take_along_axis(close, part, axis=1)))
-    return np.take_along_axis(part, order, axis=1).astype(np.uint16)
-
-
-def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric relation."""
-    seen, out = np.zeros(len(linked), bool), []
-    for start in np.flatnonzero(linked.any(axis=1)).tolist():
-        if seen[start]:
-            continue
-        seen[start] = True
-        todo = [start]
-        while todo:
-            i = todo.pop()
-            new = np.flatnonzero(linked[i] & ~seen)
-            seen[new] = True
-            out += [(i, j) for j in new.tolist()]
-            todo += new.tolist()
+def spread(sample: np.ndarray, wanted: int, reach: float) -> np.ndarray:
+    """The first vectors of a sample that lie further than twice the reach of a link from those before, as many as wanted."""
+    out = sample[:1]
+    for v in sample[1:]:
+        if len(out) == wanted:
+            break
+        if (((out - v) ** 2).sum(axis=1) > 4 * reach * reach).all():
+            out = np.concatenate([out, v[None]])
     return out
 
 
+def cells(unit: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each vector, and which smaller pivots' cells may hold a vector within reach.
+
+    Where u's nearest pivot is p and v's is h, u(h - p) <= 0, and v(h - p) = u(h - p) + (v - u)(h - p) <= |v - u| |h - p|.
+    """
+    close = unit @ pivots.T
+    home = close.argmax(axis=1)
+    apart = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+    guest = close[np.arange(len(unit)), home][:, None] - close <= reach * apart[home] + 1e-9
+    return home, guest & (np.arange(len(pivots)) < home[:, None])
+
+
+def links(unit: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Each vector's links between two blocks, or within one, and a spanning forest of them.
+
+    Products are taken in single precision; where that can't tell, in double.
+    """
+    n, within = len(unit), left is right
+    counts, component, edges = np.zeros(n, np.int64), np.arange(n), []
+    near, doubt = unit.astype(np.float32), (unit.shape[1] + 2) * 2.0**-22
+    for a in range(0, len(left), 512):  # rows at a time bound the memory
+        some, others = left[a : a + 512], right[a:] if within else right
+        close = near[some] @ near[others].T
+        linked = close >= least
+        i, j = np.nonzero(np.abs(close - least) <= doubt)
+        for c in range(0, len(i), 65_536):
+            x, y = i[c : c + 65_536], j[c : c + 65_536]
+            linked[x, y] = (unit[some[x]] * unit[others[y]]).sum(axis=1) >= least
+        if within:
+            linked = np.triu(linked, 1)
+        counts[some] += linked.sum(axis=1)
+        counts[others] += linked.sum(axis=0)
+        for k in np.flatnonzero(linked.any(axis=1)).tolist():
+            to = others[linked[k]]
+            new = to[component[to] != component[some[k]]]
+            if len(new):
+                joined, first = np.unique(component[new], return_index=True)
+                edges += [(int(some[k]), int(v)) for v in new[first]]
+                component[np.isin(component, joined)] = component[some[k]]
+    return counts, edges
+
+
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in key_groups(batches, ["label", "dim", "pivot", "low", "high"]):
-            n = group.num_rows
-            if n < 2:
+            block, low, high = group["block"].to_numpy(), group["low"][0].as_py(), group["high"][0].as_py()
+            left = np.flatnonzero(block == low)
+            right = left if low == high else np.flatnonzero(block == high)
+            if not len(left) or not len(right):
                 continue
-            unit = matrix(group["unit"])
-            order = matrix(group["prefix"]).astype(np.int64)
-            pivot, low, high = (group[k][0].as_py() for k in ("pivot", "low", "high"))
-            block = group["block"].to_numpy()
-            wide = int(order.max()) + 1
-            member, listed = np.zeros((n, wide), np.float32), np.zeros((n, wide), bool)
-            np.put_along_axis(member, order, 1.0, axis=1)
-            np.put_along_axis(listed, order[:, :LISTS], True, axis=1)
-            earlier = listed[:, :pivot].astype(np.float32)
-            linked = np.zeros((n, n), bool)
-            shared = min(SHARED, order.shape[1])
-            for a in range(0, n, 512):  # rows at a time bound the memory
-                b = slice(a, a + 512)
-                linked[b] = (unit[b] @ unit.T >= least) & (member[b] @ member.T >= shared) & (earlier[b] @ earlier.T == 0)
-            np.fill_diagonal(linked, False)
-            if low != high:
-                linked &= block[:, None] != block[None, :]
-            counts = linked.sum(axis=1)
+            counts, edges = links(matrix(group["unit"]), left, right, least)
             some = np.flatnonzero(counts)
             if not len(some):
                 continue
-            edges = _forest(linked)
             node = group["node"]
             rows = pa.concat_arrays([*node.take(pa.array(some)).chunks, *node.take(pa.array([i for i, _ in edges], pa.int64())).chunks])
             ends = pa.concat_arrays([pa.nulls(len(some), node.type), *node.take(pa.array([j for _, j in edges], pa.int64())).chunks])
@@ -105,29 +117,34 @@ def near_vectors(table: DataFrame, least: float = 0.98) -> DataFrame:
     scaled = F.when(F.col("length") > 0, F.transform("x", lambda v: v / F.col("length")))
     rows = staged(rows.select("vec_id", "copy", "label", F.struct(F.col("vec_id"), F.col("copy")).alias("node"), scaled.alias("unit")), "vectors")
     able = rows.where("unit is not null").select("node", "label", "unit", F.size("unit").alias("dim"))
-    n = able.count()
-    wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, n // VECTORS_A_PIVOT)))
-    sample = able.select("dim", "unit", F.xxhash64("node", F.lit(9)).alias("h")).orderBy("h").limit(wanted)
-    pivots: dict[int, list] = {}
+    most = able.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    wanted, reach = int(min(MOST_PIVOTS, max(1, most // BLOCK))), math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
+    sample = able.select("dim", "unit", F.xxhash64("node", F.lit(9)).alias("h")).orderBy("h").limit(wanted * LOOKED_AT)
+    sampled: dict[int, list] = {}
     for r in sample.collect():
-        pivots.setdefault(r.dim, []).append(r.unit)
-    known = {dim: np.array(v) for dim, v in pivots.items()}
+        sampled.setdefault(r.dim, []).append(r.unit)
+    known = {dim: spread(np.array(v), wanted, reach) for dim, v in sampled.items()}
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, some in ((d, np.flatnonzero(batch.column(3).to_numpy() == d)) for d in np.unique(batch.column(3).to_numpy())):
                 part = pa.Table.from_batches([batch]).take(pa.array(some))
-                unit = matrix(part["unit"])
-                order = permutations(unit, known.get(int(dim), np.eye(1, int(dim))))
-                yield from part.append_column("prefix", pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))).combine_chunks().to_batches()
+                home, guest = cells(matrix(part["unit"]), known.get(int(dim), np.eye(1, int(dim))), reach)
+                lists = pa.array([[h, *np.flatnonzero(g).tolist()] for h, g in zip(home.tolist(), guest, strict=True)], pa.list_(pa.int32()))
+                yield from part.append_column("lists", lists).combine_chunks().to_batches()
 
     kind = dict(able.dtypes)["label"]
-    described = able.mapInArrow(describe, f"node struct<vec_id:long,copy:int>, label {kind}, unit array<double>, dim int, prefix array<int>")
-    lists = staged(described.select("*", F.explode(F.slice("prefix", 1, LISTS)).alias("pivot")), "lists")
-    sizes = lists.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cut = lists.join(sizes, ["label", "dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("label", "dim", "pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "unit", "prefix")
+    described = staged(able.mapInArrow(describe, f"node struct<vec_id:long,copy:int>, label {kind}, unit array<double>, dim int, lists array<int>"), "lists")
+    # The first list is the vector's home.
+    sizes = described.select("label", "dim", F.posexplode("lists").alias("place", "pivot")).groupBy("label", "dim", "pivot")
+    blocks = lambda rows: F.ceil(F.count_if(rows) / BLOCK).cast("int")
+    sizes = sizes.agg(blocks(F.col("place") == 0).alias("homes"), blocks(F.col("place") > 0).alias("guests")).where("homes > 0")
+    cut = described.select("*", F.posexplode("lists").alias("place", "pivot")).join(small_side(sizes, 64), ["label", "dim", "pivot"])
+    h = F.xxhash64("node")
+    cut = cut.withColumn("block", F.when(F.col("place") == 0, F.pmod(h, F.col("homes"))).otherwise(F.col("homes") + F.pmod(h, F.col("guests"))).cast("int"))
+    last = F.when(F.col("place") == 0, F.col("homes") + F.col("guests")).otherwise(F.col("homes")) - 1
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    cut = cut.select("label", "dim", "pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "unit")
     keys = ["label", "dim", "pivot", "low", "high"]
     found = staged(cut.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(_verify(least), "a struct<vec_id:long,copy:int>, b struct<vec_id:long,copy:int>, links long"), "links")
 

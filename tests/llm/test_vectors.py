@@ -124,6 +124,23 @@ def test_recall_on_the_check_table(spark):
     assert want > 1000 and got >= 0.97 * want
 
 
+def test_dense_cluster_keeps_its_links(spark):
+    """A third of 120,000 vectors in one cluster, over many pivots: every link of sampled rows is counted."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    centre, n = rng.normal(size=64), 120_000
+    x = rng.normal(size=(n, 64))
+    x[: n // 3] = centre / np.linalg.norm(centre) + rng.normal(size=(n // 3, 64)) * 0.0179
+    x = x[rng.permutation(n)].astype(np.float32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 64), pa.array(x.reshape(-1)))
+    table = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": lists, "label": pa.array(np.ones(n, np.int32))}))
+    got = {r.vec_id: r.n_links for r in near_vectors(table).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = {i: int((unit @ unit[i] >= 0.98).sum()) - 1 for i in range(300)}
+    assert sum(want.values()) > 100_000 and {i: got[i] for i in want} == want
+
+
 def test_huge_and_tiny_components(spark):
     table = [(0, [1e300, 1.0], 1, "c"), (20, [2e300, 2.0], 1, "c"), (3, [1e-200, 1e-200], 1, "c"), (40, [1.0, 1.0], 1, "c")]
     df = spark.createDataFrame(table, SCHEMA.replace("float", "double"))
