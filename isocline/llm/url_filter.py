@@ -28,6 +28,11 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.translate(rest, UPPER, LOWER), F.lit(""))
 
 
+def site_of(host: Column) -> Column:
+    """A host as sites are listed: without user, port and the root's dot."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*\z", ""), r"\.\z", "")
+
+
 def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
@@ -58,7 +63,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, otherwise: str = "allow") -
 
     listed: host, path, verdict, rule; rows with a rule come before those without, then the longest host + path wins, and
     of equal ones the least verdict. A URL that is null or has no :// has an empty host and path and fits nothing. An empty
-    path is looked up as /, as browsers ask for it, in keys without a rule only. Repeated rows are judged alike; null page
+    path is looked up as /, as browsers ask for it, and a host without user, port and trailing dot, in keys without a rule only;
+    ORACLE knows the first of these alone. Repeated rows are judged alike; null page
     ids are kept; an empty table gives an empty result, and an empty list the other verdict. Further columns are not read.
     """
     keys = staged(listed.select(F.concat(F.col("host"), F.lit(" "), F.col("path")).alias("key"), F.length("path").alias("at"), "verdict", "rule", (F.length("host") + F.length("path")).alias("length")), "listed")
@@ -66,19 +72,24 @@ def filter_urls(pages: DataFrame, listed: DataFrame, otherwise: str = "allow") -
     blocks = max(1, -(-n // KEYS))
 
     seen = pages.select("url").where(F.col("url").isNotNull()).distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    seen = seen.withColumn("site", site_of(F.col("host")))
+
+    def suffixes(host: str) -> Column:
+        labels = F.split(host, r"\.")
+        return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
     whole = F.when(F.col("path") == "", F.lit("/")).otherwise(F.col("path"))
     cuts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: k <= F.length(whole))
-    possible = F.flatten(F.transform(suffixes, lambda s: F.transform(cuts, lambda k: F.concat(s, F.lit(" "), F.substring(whole, F.lit(1), k)))))
-    asked = seen.select("url", (F.col("path") == "").alias("bare"), F.explode(F.array_distinct(possible)).alias("key"))
+    possible = lambda host: F.array_distinct(F.flatten(F.transform(suffixes(host), lambda s: F.transform(cuts, lambda k: F.concat(s, F.lit(" "), F.substring(whole, F.lit(1), k))))))
+    asked = seen.select("url", (F.col("path") == "").alias("sites"), F.explode(possible("host")).alias("key"))
+    asked = asked.unionByName(seen.where("site not in (host, '')").select("url", F.lit(True).alias("sites"), F.explode(possible("site")).alias("key")))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     passes = F.lit(True)
     for w in range(WORDS):
         mask = _mask(F.col("key"), w)
         passes = passes & (F.col(f"w{w}").bitwiseAND(mask) == mask)
-    hits = asked.join(bloom_blocks(keys, blocks), "block").where(passes).select("url", "bare", "key")
-    exact = hits.join(keys, "key").where(~F.col("bare") | F.col("rule").isNull())
+    hits = asked.join(bloom_blocks(keys, blocks), "block").where(passes).select("url", "sites", "key")
+    exact = hits.join(keys, "key").where(~F.col("sites") | F.col("rule").isNull())
     rank = F.struct(F.col("rule").isNotNull().alias("named"), F.col("length"), (F.col("verdict") != "allow").alias("v"))
     best = exact.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("best"))
     out = pages.select("page_id", "url").join(best, "url", "left")

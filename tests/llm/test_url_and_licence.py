@@ -22,6 +22,14 @@ def test_urls_equal_sql(spark):
     assert {(r.rule, r.verdict) for r in none} == {(None, "allow")}
 
 
+def test_listed_sites_by_canonical_host(spark):
+    urls = ["http://casino-win.example.com:80/", "http://u@casino-win.example.com/", "http://casino-win.example.com./", "http://u:p@m.casino-win.example.com.:8080", "http://casino-win.example.com@other.org/", "http://example.com:80/en/7", "http://m.org:80/es/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted((r.page_id, r.host, r.rule, r.verdict) for r in url_filter.filter_urls(df, url_filter.rule_table(spark)).collect())
+    hosts = ["casino-win.example.com:80", "u@casino-win.example.com", "casino-win.example.com.", "u:p@m.casino-win.example.com.:8080", "casino-win.example.com@other.org", "example.com:80", "m.org:80"]
+    assert got == [(i, h, None, "block" if i < 4 else "allow") for i, h in enumerate(hosts)]
+
+
 def test_bloom_filter_has_no_false_negatives_and_few_positives(spark):
     from pyspark.sql import functions as F
 
