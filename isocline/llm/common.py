@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of at most so many bytes are broadcast; their rows are counted first.
 BROADCAST_BYTES = 32 << 20
+#: A key is hot if it has more rows than the first, and more than one in the second of all.
+HOT_ROWS, HOT_KEYS = 64, 50_000
 #: Texts are handled in slices of about so many bytes, whatever the size of Arrow's batches.
 SLICE_BYTES = 4 << 20
 _STAGED: list[str] = []
@@ -67,6 +69,29 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def join_hot(rows: DataFrame, side: DataFrame, key: str, count: str, how: str = "inner", row_bytes: int = 0) -> DataFrame:
+    """rows joined ("inner" or "left") with side by key; side has one row per key and in column `count`, which goes, how many rows it meets.
+
+    With row_bytes, side is broadcast whole if its counted rows fit the bound. Else keys with more than their share of the
+    rows are hot, at most HOT_KEYS, whatever the size: their side is broadcast, so that their rows stay in their
+    partitions, and all others are joined by a shuffle. Both tables should be staged. Null keys meet nothing.
+    """
+    n, total, most = side.agg(F.count("*"), F.sum(count), F.max(count)).first()
+    if row_bytes and n * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(side.drop(count)), key, how)
+    least = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    is_hot = F.col(count) > least
+    hot, cold = F.broadcast(side.where(is_hot).drop(count)), side.where(~is_hot).drop(count)
+    parts = [rows.where(F.col(key).isNull())] if how == "left" else []
+    if n and most > least:
+        parts += [rows.join(hot, key)]
+        rows = rows.join(F.broadcast(side.where(is_hot).select(key)), key, "left_anti")
+    out = rows.where(F.col(key).isNotNull()).join(cold, key, how)
+    for part in parts:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def key_field(df: DataFrame, key: str | None) -> str:
     """The end of a schema that carries a key column along."""
     return f", {key} {dict(df.dtypes)[key]}" if key else ""
@@ -110,6 +135,20 @@ def key_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[p
         yield pa.concat_tables(held)
 
 
-def fixed_binary(column: pa.ChunkedArray, width: int, dtype) -> np.ndarray:
-    """A column of equally long binaries as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), width)
+def fixed_binary(column: pa.ChunkedArray | pa.Array, width: int, dtype) -> np.ndarray:
+    """A column of equally long binaries without nulls as a matrix."""
+    parts = []
+    for c in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        c = c.cast(pa.large_binary())
+        if len(c):
+            offsets = np.frombuffer(c.buffers()[1], np.int64, len(c) + 1, c.offset * 8)
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+    raw = np.ascontiguousarray(np.concatenate(parts)) if parts else np.zeros(0, np.uint8)
+    return raw.view(dtype).reshape(-1, width)
+
+
+def binaries(rows: np.ndarray) -> pa.Array:
+    """A matrix of bytes as a column of binaries, one for each row."""
+    rows = np.ascontiguousarray(rows, np.uint8)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
