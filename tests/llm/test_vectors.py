@@ -111,6 +111,26 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_shared_pivots_prune_between_clusters_and_lose_nothing():
+    from isocline.llm.pivots import links, spread
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 64))
+    x = centres[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 64)) * 0.12
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    reach = math.sqrt(2 - 2 * 0.98) + 1e-9
+    copies = rng.integers(1, 4, 3000)
+    same = unit @ unit.T >= 0.98
+    np.fill_diagonal(same, False)
+    rows = np.arange(3000)
+    counts, edges, taken = links(unit, copies, rows, rows, 0.98, spread(unit, 256, reach), reach)
+    assert counts.tolist() == (same @ copies).tolist() and all(same[i, j] for i, j in edges) and same.sum() > 1000
+    assert taken < 0.3 * 3000 * 1500
+    counts, _, taken = links(unit, copies, rows[:1500], rows[1500:], 0.98, spread(unit, 256, reach), reach)
+    same[:1500, :1500] = same[1500:, 1500:] = False
+    assert counts.tolist() == (same @ copies).tolist() and taken < 0.3 * 1500 * 1500
+
+
 def test_recall_on_the_check_table(spark):
     """Links that the index finds, against brute force, on clustered vectors of one label."""
     rng = np.random.default_rng(9)
