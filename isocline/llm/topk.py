@@ -1,7 +1,9 @@
 """Exact top-k by inner product: norm-bucketed retrieval.
 
-Vectors are dealt into slices, queries into blocks, and every block meets every slice in one task. A slice is scanned
-bucket by bucket from the longest vectors on. A query's k-th score so far, over its length and the bucket's longest
+Vectors are dealt into bands of length, and bands into slices. All queries first meet a slice of the longest vectors, which
+gives each a threshold: no band whose longest vector, times the query's own length, stays below it holds one of its best.
+Queries with the same number of bands left make blocks, and a slice is sent only to blocks that need its band. A slice is
+scanned bucket by bucket from the longest vectors on. A query's k-th score so far, over its length and the bucket's longest
 vector, is its local cosine threshold: above 1 the bucket, and all shorter ones, are pruned; a high one prunes by the
 feasible range of the query's heaviest coordinates, a lower one by length; what is left is verified by its product.
 """
@@ -12,14 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_groups, staged
+from .common import key_groups, small_side, staged
 from .vectors import finite, matrix, with_copies
 
 #: Queries of a block, vectors of a slice (on average), vectors of a bucket.
 QUERIES, SLICE, BUCKET = 4096, 16_384, 1024
+#: Bands of length, at most: one for each slice.
+BANDS = 64
 #: Thresholds from which coordinates prune, and coordinates that are looked at.
 STEEP, FOCUS = 0.6, 3
 _NULL = np.iinfo(np.int64).max
@@ -34,9 +38,10 @@ def _first(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.
     return order[place < k]
 
 
-def search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int):
+def search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, known: np.ndarray | None = None):
     """(query index, vector index, score) of each query's k best vectors, its own row left out.
 
+    known: scores of which each query has k as good elsewhere; what stays below them may be left out.
     own and rows name rows as (id, copy) pairs. Values are whole numbers; beyond 2**53 products are taken of Python's.
     """
     length, reach = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
@@ -44,7 +49,7 @@ def search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.nd
         vectors, queries = (np.frompyfunc(int, 1, 1)(x) for x in (vectors, queries))
     order = np.argsort(-length, kind="stable")
     place = {(int(a), int(b)): i for i, (a, b) in enumerate(own)}
-    least = np.full(len(queries), -np.inf)
+    least = np.full(len(queries), -np.inf) if known is None else known.astype(float)
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, vectors.dtype)]
     unit = queries / np.where(reach > 0, reach, 1.0)[:, None]
     heavy = np.argsort(-np.abs(unit.astype(float)), axis=1)[:, :FOCUS]
@@ -93,7 +98,7 @@ def search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.nd
         counts = np.bincount(held[0], minlength=len(queries))
         full = np.flatnonzero(counts >= k)
         last = np.cumsum(counts) - 1
-        least[full] = held[2][last[full]].astype(float)
+        least[full] = np.maximum(least[full], held[2][last[full]].astype(float))
     return held
 
 
@@ -105,10 +110,6 @@ def _longs(score: np.ndarray) -> np.ndarray:
     return np.array([min(high, max(low, int(s))) for s in score], np.int64)
 
 
-def _range(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-
-
 def top_inner_products(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best rows for every row whose vec_id is divisible by `every`.
 
@@ -119,27 +120,58 @@ def top_inner_products(table: DataFrame, k: int = 20, every: int = 20, scale: in
     """
     whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))
     rows = with_copies(table.select("vec_id", "embedding").where(finite(F.col("embedding"))).select("vec_id", whole.alias("v")), "v")
-    rows = staged(rows.withColumn("dim", F.size("v")), "vectors")
-    asked = rows.where(F.col("vec_id") % every == 0)
-    n, m = rows.count(), asked.count()
-    slices, blocks = max(1, -(-n // SLICE)), max(1, -(-m // QUERIES))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    rows = staged(rows.select("vec_id", "copy", "v", F.size("v").alias("dim"), length.alias("length")), "vectors")
+
+    # Bands from the longest vectors on; of one length there may be any number, so that a band has as many slices as it needs.
+    wanted = min(BANDS, max(1, -(-rows.count() // SLICE)))
+    cuts = rows.groupBy("dim").agg(F.percentile_approx("length", [1 - b / wanted for b in range(1, wanted)] or [0.0], 10_000).alias("cuts"))
     h = F.xxhash64("vec_id", "copy")
-    left = asked.select("dim", F.pmod(h, F.lit(blocks)).alias("block"), F.explode(_range(slices)).alias("slice"), F.lit(0).alias("side"), "vec_id", "copy", "v")
-    right = rows.select("dim", F.explode(_range(blocks)).alias("block"), F.pmod(h, F.lit(slices)).alias("slice"), F.lit(1).alias("side"), "vec_id", "copy", "v")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in key_groups(batches, ["dim", "block", "slice"]):
-            side = group["side"].to_numpy()
-            v, ids, copies = matrix(group["v"]), group["vec_id"].fill_null(_NULL).to_numpy(), group["copy"].to_numpy().astype(np.int64)
-            names = np.stack([ids, copies], axis=1)
-            q, c = side == 0, side == 1
-            if not q.any():
-                continue
-            query, vector, score = search(v[q], names[q], v[c], ids[c], names[c], k)
-            found = ids[c][vector]
-            yield pa.RecordBatch.from_arrays([pa.array(names[q][query, 0]), pa.array(names[q][query, 1]), pa.array(found, pa.int64(), mask=found == _NULL), pa.array(_longs(score), pa.int64())], ["query_id", "copy", "vec_id", "score"])
-
-    met = left.unionByName(right).repartition("dim", "block", "slice").sortWithinPartitions("dim", "block", "slice", "side", "vec_id", "copy")
-    best = met.mapInArrow(run, "query_id long, copy long, vec_id long, score long")
+    in_band = rows.join(small_side(cuts, 1024), "dim") if wanted > 1 else rows.withColumn("cuts", F.array().cast("array<double>"))
+    in_band = in_band.withColumn("band", F.size(F.filter("cuts", lambda c: F.col("length") < c))).drop("cuts")
+    bands = staged(in_band.groupBy("dim", "band").agg(F.max("length").alias("longest"), F.ceil(F.count("*") / SLICE).cast("int").alias("parts")), "bands")
+    placed = in_band.join(small_side(bands.select("dim", "band", "parts"), 64), ["dim", "band"]).withColumn("part", F.pmod(h, F.col("parts")).cast("int")).drop("parts")
+    first = staged(bands.groupBy("dim").agg(F.min("band").alias("band"), F.sort_array(F.collect_list("longest"), False).alias("reach")), "reaches")
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for group in key_groups(batches, keys):
+                side = group["side"].to_numpy()
+                q, c = side == 0, side == 1
+                if not q.any() or not c.any():
+                    continue
+                v, ids, copies = matrix(group["v"]), group["vec_id"].fill_null(_NULL).to_numpy(), group["copy"].to_numpy().astype(np.int64)
+                names = np.stack([ids, copies], axis=1)
+                query, vector, score = search(v[q], names[q], v[c], ids[c], names[c], k, group["least"].to_numpy()[q])
+                found = ids[c][vector]
+                bars = np.nextafter(score.astype(float), -np.inf) if score.dtype == object else score.astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(names[q][query, 0]), pa.array(names[q][query, 1]), pa.array(found, pa.int64(), mask=found == _NULL), pa.array(_longs(score), pa.int64()), pa.array(bars)], ["query_id", "copy", "vec_id", "score", "exact"])
+
+        keys = ["dim", "need", "block", "band", "part"]
+        columns = [*keys, "side", "vec_id", "copy", "v", "least"]
+        both = left.select(*columns).unionByName(right.select(*columns)).repartition(*keys).sortWithinPartitions(*keys, "side", "vec_id", "copy")
+        return both.mapInArrow(run, "query_id long, copy long, vec_id long, score long, exact double")
+
+    side = lambda n: F.lit(n).alias("side")
+    none = F.lit(float("-inf")).alias("least")
+    asked = rows.where(F.col("vec_id") % every == 0)
+    blocks = max(1, -(-asked.count() // QUERIES))
+    lead = small_side(first.select("dim", "band"), 64)
+    left = asked.join(lead, "dim").select("dim", F.lit(0).alias("need"), F.pmod(h, F.lit(blocks)).cast("int").alias("block"), "band", F.lit(0).alias("part"), side(0), "vec_id", "copy", "v", none)
+    right = placed.where("part = 0").join(lead, ["dim", "band"]).select("dim", F.lit(0).alias("need"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "band", "part", side(1), "vec_id", "copy", "v", none)
+    begun = staged(met(left, right), "begun")
+
+    # What each query has k of, and the bands whose vectors can reach it.
+    bar = begun.groupBy(F.col("query_id").alias("vec_id"), "copy").agg(F.when(F.count("*") >= k, F.min("exact")).otherwise(float("-inf")).alias("least"))
+    need = F.size(F.filter("reach", lambda m: F.col("length") * m * (1 + 1e-9) + 1e-9 >= F.col("least")))
+    todo = asked.join(bar, ["vec_id", "copy"], "left").fillna(float("-inf"), ["least"]).join(small_side(first.drop("band"), 1024), "dim").withColumn("need", need).drop("reach")
+    todo = staged(todo, "asked")
+    sizes = todo.groupBy("dim", "need").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    order = bands.withColumn("place", F.row_number().over(Window.partitionBy("dim").orderBy("band")))
+    pairs = staged(sizes.join(order, "dim").where("place <= need").select("dim", "need", "blocks", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "pairs")
+    pairs = pairs.join(first.select("dim", F.col("band").alias("lead")), "dim").where("not (band = lead and part = 0)").drop("lead")
+    left = todo.join(small_side(pairs, 96), ["dim", "need"]).select("dim", "need", F.pmod(h, F.col("blocks")).cast("int").alias("block"), "band", "part", side(0), "vec_id", "copy", "v", "least")
+    right = placed.join(small_side(pairs, 96), ["dim", "band", "part"]).select("dim", "need", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "band", "part", side(1), "vec_id", "copy", "v", none)
+    best = begun.unionByName(met(left, right)).drop("exact")
     rank = F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

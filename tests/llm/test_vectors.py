@@ -76,6 +76,33 @@ def test_pruned_search_with_a_negative_heavy_coordinate():
         assert vector[query == k].tolist() == best.tolist() and score[query == k].tolist() == products[k, best].tolist()
 
 
+def test_short_vectors_are_not_sent_where_long_ones_decide(spark, monkeypatch):
+    """Bands of spread lengths: most are pruned before the shuffle, and the rows are those of brute force."""
+    import isocline.llm.topk as module
+
+    monkeypatch.setattr(module, "SLICE", 50)
+    monkeypatch.setattr(module, "QUERIES", 7)
+    sent = []
+    staged = module.staged
+    monkeypatch.setattr(module, "staged", lambda df, name: [out := staged(df, name), sent.append((name, out))][0])
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 12)) * np.exp(2 * rng.normal(size=(1200, 1)))
+    x[:100] = x[0]  # one vector is a twelfth of all rows
+    x[600:800] = np.floor(x[600:800] * 64) / 64 * 0 + rng.choice([-1, 1], (200, 12))  # equal lengths
+    table = [(i, v.tolist(), 1, "c") for i, v in enumerate(x)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_inner_products(spark.createDataFrame(table, SCHEMA.replace("float", "double")), k=5).collect())
+    whole = np.floor(64 * x)
+    products = whole @ whole.T
+    want = []
+    for q in range(0, 1200, 20):
+        products[q, q] = -np.inf
+        best = np.lexsort((np.arange(1200), -products[q]))[:5]
+        want += [(q, n + 1, int(j), int(products[q, j])) for n, j in enumerate(best)]
+    assert got == want
+    needs = [r.need for r in dict(sent)["asked"].collect()]
+    assert len(needs) == 60 and sum(needs) < 0.6 * 60 * 24
+
+
 def brute_links(table, least=0.98):
     n = len(table)
     ok = [usable(v) and any(v) and label is not None for _, v, label, _ in table]
