@@ -21,15 +21,17 @@ BROADCAST_BYTES = 32 << 20
 #: A key is hot if it has more rows than the first, and more than one in the second of all.
 HOT_ROWS, HOT_KEYS = 64, 50_000
 #: Texts are handled in slices of about so many bytes, whatever the size of Arrow's batches.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _STAGED: list[str] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir, which all executors see; where that is unset, a temporary one of a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="isocline-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
@@ -58,10 +60,28 @@ def unstage(df: DataFrame) -> None:
     _delete(df.sparkSession, df._isocline_path)
 
 
-def clear_stages(spark: SparkSession) -> None:
-    """Delete all stage tables of this driver: for long sessions, once their results are written."""
-    for path in list(_STAGED):
-        _delete(spark, path)
+def clear_stages(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the stage tables of this driver but keep's, or those since a stage_mark(), once no unfinished plan reads them."""
+    for path in _STAGED[since:]:
+        if keep is None or path != keep._isocline_path:
+            _delete(spark, path)
+
+
+def stage_mark() -> int:
+    """How many stage tables this driver has."""
+    return len(_STAGED)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that df doesn't have, in any case of letters."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        out.append(name)
+    return out
 
 
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import join_hot, staged, unstage
 
 #: Edges of a chunk that one task contracts at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -37,8 +37,8 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of each chunk as stars: every node with its chunk's smallest node that it reaches."""
+def contracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of each chunk as stars (u, v): every node with its chunk's smallest node that it reaches."""
 
     def stars(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
@@ -81,15 +81,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return join_hot(edges, low, "u", "n").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v")))
 
 
-def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
+def connected_components(edges: DataFrame, left: str, right: str, chunked: bool = False) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node reachable.
 
-    Nodes are binaries, strings or numbers. Loops, repeated edges and edges with a null end are allowed and change
+    chunked: edges come from contracted() already, in the Python workers that found them. Nodes are binaries, strings or numbers. Loops, repeated edges and edges with a null end are allowed and change
     nothing. An empty table gives none.
     """
     kind = dict(edges.dtypes)[left]
     given = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
-    now = staged(given.mapInArrow(_contract, f"u {kind}, v {kind}").distinct(), "edges")
+    now = staged((given if chunked else given.mapInArrow(contracted, f"u {kind}, v {kind}")).distinct(), "edges")
     before = None
     while True:
         large = staged(_large_star(now).where("u <> v").distinct(), "edges")

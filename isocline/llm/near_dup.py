@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .common import binaries, fixed_binary, join_hot, key_field, key_groups, slices, small_side, staged
-from .components import connected_components
+from .components import connected_components, contracted
 
 SIZE, DEPTH, TREES = 128, 4, 32
 #: Values beyond DEPTH, of 16 bits each, that a key sorts by.
@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     nodes = staged(nodes, "nodes")
 
     runs = _runs(nodes).join(nodes.select("node", "signature"), "node").repartition("pid", "run").sortWithinPartitions("pid", "run", "node")
-    loose = connected_components(runs.mapInArrow(_candidates(least), "a binary, b binary"), "a", "b")
+    find = _candidates(least)
+    loose = connected_components(runs.mapInArrow(lambda batches: contracted(find(batches)), "u binary, v binary"), "u", "v", chunked=True)
     loose = staged(loose.join(nodes.select("node", "rep", "size"), "node"), "loose")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, 8 * F.sum("size") / BLOCK_BYTES)).cast("int")
     size = staged(loose.groupBy("root").agg(F.count("*").alias("n"), blocks.alias("blocks")), "sizes")
@@ -289,7 +290,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     sets = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.select("loose", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "shingles")
     sets = sets.repartition("loose", "low", "high").sortWithinPartitions("loose", "low", "high", "node")
-    classes = staged(connected_components(sets.mapInArrow(_links(percent), "a binary, b binary"), "a", "b"), "classes")
+    verify = _links(percent)
+    classes = staged(connected_components(sets.mapInArrow(lambda batches: contracted(verify(batches)), "u binary, v binary"), "u", "v", chunked=True), "classes")
 
     # Only documents with copies or links need a look-up; all others are their own component.
     linked = staged(classes.join(nodes.select("node", "rep", "copies"), "node"), "linked")

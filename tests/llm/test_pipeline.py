@@ -62,3 +62,48 @@ def test_repeated_rows_nulls_and_clashing_columns(spark):
     assert stage(spark, "source mix", df).columns == df.columns
     for name, f in pipeline.STAGES:
         assert f(spark, df.where("false"), SF).collect() == []
+
+
+CLASHES = ("_copies", "_rows", "_found", "_of", "_of_key", "_row_key", "_ROW_KEY_", "_value", "_new", "_kept", "found", "node", "size", "copies", "key", "kept")
+
+
+def test_columns_with_the_names_of_inner_ones(spark):
+    """Whatever further columns are called, they come through, and the same documents stay."""
+    docs = documents(spark)
+    more = docs
+    for k, name in enumerate(CLASHES):
+        more = more.withColumn(name, docs.doc_id + k)
+    for name, f in pipeline.STAGES[:-1]:
+        out = f(spark, more, SF)
+        assert out.columns == more.columns
+        rows = out.collect()
+        assert all(r[c] == r.doc_id + k for r in rows for k, c in enumerate(CLASHES))
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in f(spark, docs, SF).collect()) or name == "source mix"
+    assert len(pipeline.STAGES[-1][1](spark, more, SF).collect()) >= docs.count()
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    import os
+
+    from isocline.llm import common
+
+    common.clear_stages(spark)
+    out = pipeline.run(spark, SF)
+    left = [p for p in common._STAGED if os.path.exists(p.removeprefix("file:"))]
+    assert len(left) == len(common._STAGED) <= 2 and out.count() > 0
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    import pytest
+
+    from isocline.llm.common import shared_folder
+
+    class Session:
+        conf = {}
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        shared_folder(Session)
