@@ -12,72 +12,83 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isocline.llm import vocab
-from isocline.llm.common import small_side, staged
+from isocline.llm.common import clear_stages, free_names, small_side, stage_mark, staged
 from isocline.llm.mixing import mix
 from isocline.llm.near_dup import near_duplicates
 from isocline.llm.packing import pack
 from isocline.llm.quality import quality_scores
 from isocline.llm.secrets import redacted, scan_secrets
 
-#: A hash of all columns, beside doc_id: rows of one doc_id but other contents are told apart by it.
-KEY = "_row_key"
 #: Bytes of a broadcast row of doc_id and key in a hashed relation.
 KEY_BYTES = 128
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(KEY, F.xxhash64(*docs.columns))
+class _Rows:
+    """The rows of a stage's input with a hash of all columns beside doc_id, which tells rows of one doc_id apart.
 
+    All names that a stage adds are free in the input, whatever columns that has.
+    """
 
-def _same(a: DataFrame, b: DataFrame):
-    return a.doc_id.eqNullSafe(b["_of"]) & (a[KEY] == b["_of_key"])
+    def __init__(self, docs: DataFrame):
+        self.columns = docs.columns
+        self.key, self.of, self.of_key, self.rows, self.value, self.new = free_names(docs, "_row_key", "_of", "_of_key", "_rows", "_value", "_new")
+        self.table = docs.withColumn(self.key, F.xxhash64(*docs.columns))
 
+    def decisions(self, made: DataFrame, name: str, value, having: str, row_bytes: int = KEY_BYTES) -> DataFrame:
+        """One staged row of doc_id, key, number of rows and value for each doc_id and key of made whose value is so; {0} names the value."""
+        each = made.groupBy(F.col("doc_id").alias(self.of), F.col(self.key).alias(self.of_key)).agg(F.count("*").alias(self.rows), value.alias(self.value))
+        return small_side(staged(each.where(having.format(f"`{self.value}`")), name), row_bytes)
 
-def _named(decisions: DataFrame, *columns) -> DataFrame:
-    return decisions.select(F.col("doc_id").alias("_of"), F.col(KEY).alias("_of_key"), *columns)
+    def join(self, made: DataFrame, how: str) -> DataFrame:
+        return self.table.join(made, self.table.doc_id.eqNullSafe(made[self.of]) & (self.table[self.key] == made[self.of_key]), how)
+
+    def alone_and_one_of_equals(self, joined: DataFrame) -> DataFrame:
+        """Equal rows share a decision: one of them stands for all."""
+        n = F.col(self.rows)
+        return joined.where(n == 1).unionByName(joined.where(n > 1).dropDuplicates(["doc_id", self.key]))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking rejects go."""
-    rows = _keyed(docs)
-    scores = quality_scores(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), key=KEY)
-    rejected = small_side(staged(_named(scores.where("predicted = 0")).distinct(), "rejected"), KEY_BYTES)
-    return rows.join(rejected, _same(rows, rejected), "left_anti").select(*docs.columns)
+    rows = _Rows(docs)
+    scores = quality_scores(rows.table, spark.read.parquet(f"{sf_dir}/labels.parquet"), key=rows.key)
+    rejected = rows.decisions(scores.where("predicted = 0"), "rejected", F.min("predicted"), "{0} = 0")
+    return rows.join(rejected, "left_anti").select(*rows.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near and exact copies stays, the one with the smallest doc_id."""
-    rows = _keyed(docs)
-    classes = near_duplicates(rows, key=KEY)
-    kept = staged(_named(classes.groupBy("doc_id", KEY).agg(F.count("*").alias("_rows"), F.first("kept").alias("_kept"), F.max("n_shingles").alias("_n")), "_rows", "_kept", "_n"), "kept")
-    gone = small_side(kept.where("not _kept"), KEY_BYTES)
-    again = small_side(kept.where("_kept and _rows > 1 and _n > 0"), KEY_BYTES)
-    single = rows.join(gone, _same(rows, gone), "left_anti").join(again, _same(rows, again), "left_anti")
-    repeated = rows.join(again, _same(rows, again), "left_semi").dropDuplicates(["doc_id", KEY])
-    return single.unionByName(repeated).select(*docs.columns)
+    """One document of each group of near and exact copies stays, the one with the smallest doc_id.
+
+    Texts without words link with nothing and all stay.
+    """
+    rows = _Rows(docs)
+    classes = near_duplicates(rows.table, key=rows.key)
+    # 0: goes; 1: the one that stays, or one of its equal rows; 2: has no words.
+    stays = F.when(F.col("n_shingles") == 0, 2).when(F.col("kept"), 1).otherwise(0)
+    touched = rows.decisions(classes, "decided", F.max(stays), f"{{0}} = 0 or {{0}} = 1 and `{rows.rows}` > 1")
+    joined = rows.join(touched, "left")
+    value = F.col(rows.value)
+    again = joined.where(value == 1).dropDuplicates(["doc_id", rows.key])
+    return joined.where(value.isNull()).unionByName(again).select(*rows.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; documents without any stay as they are."""
-    rows = _keyed(docs)
-    found = scan_secrets(rows, key=KEY).where(F.size("found") > 0).groupBy("doc_id", KEY).agg(F.first("found").alias("_found"))
-    found = small_side(staged(_named(found, "_found"), "found"), 4 * KEY_BYTES)
-    joined = rows.join(found, _same(rows, found), "left")
-    text = F.when(F.col("_found").isNotNull(), redacted(F.col("text"), F.col("_found"))).otherwise(F.col("text"))
-    n_chars = F.when(F.col("_found").isNotNull(), F.length("_new").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    return joined.withColumn("_new", text).withColumn("n_chars", n_chars).withColumn("text", F.col("_new")).select(*docs.columns)
+    rows = _Rows(docs)
+    made = scan_secrets(rows.table, key=rows.key)
+    found = rows.decisions(made.where(F.size("found") > 0), "found", F.first("found"), "{0} is not null", 4 * KEY_BYTES)
+    spans, new = F.col(rows.value), F.col(rows.new)
+    joined = rows.join(found, "left").withColumn(rows.new, F.when(spans.isNotNull(), redacted(F.col("text"), spans)).otherwise(F.col("text")))
+    length = F.when(spans.isNotNull(), F.length(new).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    return joined.withColumn("n_chars", length).withColumn("text", new).select(*rows.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out, so that the sources' words come near their targets."""
-    rows = _keyed(docs)
-    taken = mix(rows, key=KEY).groupBy("doc_id", KEY).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    taken = small_side(staged(_named(taken.where("_copies > 0"), "_copies", "_rows"), "taken"), KEY_BYTES)
-    joined = rows.join(taken, _same(rows, taken))
-    # Equal rows share their copies: one row of them stands for all.
-    alone, equal = joined.where("_rows = 1"), joined.where("_rows > 1").dropDuplicates(["doc_id", KEY])
-    repeated = alone.unionByName(equal).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    rows = _Rows(docs)
+    taken = rows.decisions(mix(rows.table, key=rows.key), "taken", F.sum("copies"), "{0} > 0")
+    kept = rows.alone_and_one_of_equals(rows.join(taken, "inner"))
+    return kept.withColumn(rows.new, F.explode(F.sequence(F.lit(1).cast("long"), F.col(rows.value)))).select(*rows.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -98,7 +109,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces of sf_dir's documents. What a finished stage wrote besides its result is deleted."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), stage_mark()
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        clear_stages(spark, mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
