@@ -276,3 +276,12 @@ def rising_curve(x: Column, at: float, width: float) -> Column:
 
 def falling_curve(x: Column, at: float, width: float) -> Column:
     return 1 / (1 + F.exp((x - at) / width))
+
+
+def celsius(kelvin: Column) -> Column:
+    return kelvin - 273.15
+
+
+def mm_a_day(rate: Column) -> Column:
+    """Water of so many kilograms a square metre and second."""
+    return rate * 86_400

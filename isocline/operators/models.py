@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -88,41 +89,58 @@ def outside(df: DataFrame, reference: DataFrame, predictors: Sequence[str]) -> D
     return df.join(F.broadcast(ends)).withColumn("novel", test).select(*df.columns, "novel")
 
 
-def prune_correlated(df: DataFrame, predictors: Sequence[str], most: float = 0.7, keep: int = 5) -> tuple[list[str], dict[str, str]]:
-    """The predictors kept in their order, and why others went; rank correlations are one small matrix."""
+def prune_correlated(df: DataFrame, predictors: Sequence[str], most: float = 0.7, keep: int = 5) -> pd.DataFrame:
+    """predictor, kept, instead: a predictor stays unless its rank correlation with an earlier one that stays is beyond most.
+
+    instead names the strongest such one, or says "no room" beyond keep predictors. Only one small matrix is gathered.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
 
-    table = VectorAssembler(inputCols=list(predictors), outputCol="_v", handleInvalid="skip").transform(df).select("_v")
-    rho = np.abs(Correlation.corr(table, "_v", "spearman").head()[0].toArray())
-    kept: list[str] = []
-    dropped: dict[str, str] = {}
-    for i, name in enumerate(predictors):
-        against = [(rho[i, predictors.index(k)], k) for k in kept]
-        if len(kept) >= keep:
-            dropped[name] = "cap"
-        elif against and max(against)[0] > most:
-            dropped[name] = max(against)[1]
-        else:
-            kept.append(name)
-    return kept, dropped
+    vectors = VectorAssembler(inputCols=list(predictors), outputCol="_v", handleInvalid="skip").transform(df).select("_v")
+    strength = pd.DataFrame(np.abs(Correlation.corr(vectors, "_v", "spearman").head()[0].toArray()), predictors, predictors)
+    open_ones, stays = pd.Series(True, predictors), []
+    while open_ones.any() and len(stays) < keep:
+        stays.append(open_ones.idxmax())
+        open_ones &= strength[stays[-1]] <= most
+        open_ones[stays[-1]] = False
+
+    def instead(name: str) -> str | None:
+        earlier = strength.loc[name, [p for p in stays if strength.index.get_loc(p) < strength.index.get_loc(name)]]
+        return None if name in stays else earlier.idxmax() if len(earlier) and earlier.max() > most else "no room"
+
+    return pd.DataFrame({"predictor": list(predictors), "kept": [p in stays for p in predictors], "instead": list(map(instead, predictors))})
 
 
 def block_folds(df: DataFrame, x: str, y: str, size: float, positive: Column, folds: int = 5) -> DataFrame:
-    """A column `fold`: square blocks dealt to folds, the heaviest first to the lightest fold.
+    """A column `fold`: square blocks with their positive rows, the heaviest first, each to the fold that is lightest by then.
 
-    Only the weights of the blocks are gathered, one row for each block of the study area.
+    Of equally light folds the one with fewer blocks is next, then the first. One task deals the blocks, which are as many as the
+    study area has, whatever the number of rows.
     """
-    at = df.withColumn("_bx", F.floor(F.col(x) / size).cast("long")).withColumn("_by", F.floor(F.col(y) / size).cast("long"))
-    weights = at.groupBy("_bx", "_by").agg(F.sum(F.when(positive, 1).otherwise(0)).alias("w")).collect()
-    load = [0.0] * folds
-    rows = []
-    for r in sorted(weights, key=lambda r: (-r.w, r._bx, r._by)):
-        f = min(range(folds), key=lambda k: (load[k], k))
-        load[f] += r.w + 1e-3
-        rows.append((r._bx, r._by, f))
-    table = df.sparkSession.createDataFrame(rows, "_bx long, _by long, fold int")
-    return at.join(table, ["_bx", "_by"], "left").withColumn("fold", F.coalesce("fold", F.lit(-1))).drop("_bx", "_by")
+    block = [F.floor(F.col(c) / size).cast("long").alias(n) for c, n in ((x, "_bx"), (y, "_by"))]
+    weights = df.groupBy(*block).agg(F.count_if(positive).alias("w"))
+
+    def deal(blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values(["w", "_bx", "_by"], ascending=[False, True, True])
+        lightest = [(0, 0, fold) for fold in range(folds)]
+        dealt = []
+        for w in blocks.w.tolist():
+            load, held, fold = heapq.heappop(lightest)
+            heapq.heappush(lightest, (load + w, held + 1, fold))
+            dealt.append(fold)
+        return blocks.assign(fold=dealt)[["_bx", "_by", "fold"]]
+
+    table = weights.groupBy(F.lit(0).alias("_all")).applyInPandas(deal, "_bx long, _by long, fold int")
+    return df.select("*", *block).join(table, ["_bx", "_by"], "left").withColumn("fold", F.coalesce("fold", F.lit(-1))).drop("_bx", "_by")
+
+
+def training_sample(df: DataFrame, label: str, key: str, most: int, background: tuple[int, int] = (10_000, 50_000)) -> DataFrame:
+    """At most so many presences and, within bounds, three times as many background rows: those of the smallest hashes of key."""
+    order = F.xxhash64(key)
+    present = df.where(F.col(label) == 1).orderBy(order, key).limit(most)
+    wanted = min(background[1], max(background[0], 3 * present.count()))
+    return present.unionByName(df.where(F.col(label) == 0).orderBy(order, key).limit(wanted))
 
 
 def balanced_weight(label: str, df: DataFrame) -> Column:
@@ -156,14 +174,27 @@ def make_model(name: str, features: Sequence[str], label: str, seed: int = 0):
 
 
 def fit(df: DataFrame, name: str, features: Sequence[str], label: str, seed: int = 0):
-    """A model of the family; training rows are bounded by their sampling and are kept in few partitions while trees grow."""
-    train = df.select(*features, label).coalesce(2).cache()
+    """A model of the family; df is a bounded training_sample(), which is held while trees grow."""
+    train = df.select(*features, label).cache()
     try:
         return make_model(name, features, label, seed).fit(train.withColumn("_weight", balanced_weight(label, train)))
     finally:
         train.unpersist()
 
 
+def resumed(spark, path: str, make):
+    """The fitted pipeline of a path if an earlier run finished it there, else make()'s, saved with its mark last."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata/_SUCCESS")
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.done")
+    system = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(done):
+        return load(path)
+    model = make()
+    save(model, path)
+    system.create(done, True).close()
+    return model
+
+
 def save(model, path: str) -> None:
     """Keep a fitted pipeline; an existing one of that name is replaced."""
     model.write().overwrite().save(path)
@@ -183,18 +214,21 @@ def score(model, df: DataFrame) -> DataFrame:
     return out.withColumn("raw", vector_to_array("probability")[1]).select(*df.columns, "raw")
 
 
-def cross_validated(df: DataFrame, name: str, features: Sequence[str], label: str, fold: str, least: tuple[int, int, int] = (3, 10, 3)) -> DataFrame:
-    """Out-of-fold scores: df with `raw`, of the folds with enough held-out and training rows."""
-    out = None
-    for f in [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]:
-        inside, train = df.where(F.col(fold) == f), df.where(F.col(fold) != f)
-        n = inside.agg(F.sum(label), F.sum(1 - F.col(label))).first()
-        if (n[0] or 0) < least[0] or (n[1] or 0) < least[2] or (train.agg(F.sum(label)).first()[0] or 0) < least[1]:
-            continue
-        part = score(fit(train, name, features, label), inside)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+def cross_validated(df: DataFrame, name: str, features: Sequence[str], label: str, fold: str, least: tuple[int, int, int] = (3, 10, 3), train: DataFrame | None = None) -> DataFrame:
+    """Out-of-fold scores: df with `raw`, of the folds with enough held-out and training rows.
+
+    train: the bounded rows to learn from, with folds of the same blocks; df itself if not given. A model never sees the block that
+    it scores, nor, where df holds a later window of the blocks, that window.
+    """
+    source = df if train is None else train
+    held = {r[fold]: r for r in source.groupBy(fold).agg(F.sum(label).alias("p"), F.count("*").alias("n")).collect()}
+    every = sum(r.p for r in held.values())
+    parts = [score(fit(source.where(F.col(fold) != f), name, features, label), df.where(F.col(fold) == f)) for f, r in sorted(held.items()) if r.p >= least[0] and r.n - r.p >= least[2] and every - r.p >= least[1]]
+    if not parts:
         raise ValueError("no fold has enough rows")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, haversine_km
@@ -48,8 +48,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, km: flo
     if k == 1:
         best = pairs.groupBy(key).agg(F.min(F.struct("km", "near")).alias("b"))
         return best.select(key, F.col("b.near").alias("near"), F.col("b.km").alias("km"))
-    best = pairs.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("km", "near"))), 1, k).alias("b"))
-    return best.select(key, F.explode("b").alias("b")).select(key, F.col("b.near").alias("near"), F.col("b.km").alias("km"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("km", "near"))
+    return pairs.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
 def neighbours(rows: int = 1) -> Column:

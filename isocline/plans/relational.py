@@ -106,7 +106,7 @@ def continent_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(name.alias("continent")).agg(F.count("*").alias("n"))
 
 
-_ROUTES = "keys AS (SELECT 'p_partkey' AS kind, CAST(p_partkey AS VARCHAR) AS value, 'key' || (p_partkey % 7) AS target FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT DISTINCT 'p_brand', p_brand, 'brand' FROM part WHERE p_partkey % 500 = 1 UNION ALL SELECT DISTINCT 'p_size', CAST(p_size AS VARCHAR), 'size' || p_size FROM part WHERE p_size < 10)"
+_ROUTES = "keys AS (SELECT 'p_partkey' AS kind, CAST(p_partkey AS VARCHAR) AS value, 'key' || (p_partkey % 7) AS target FROM part WHERE p_size <= 5 UNION ALL SELECT DISTINCT 'p_brand', p_brand, 'brand' FROM part WHERE p_size = 50 AND p_retailprice > 1500 UNION ALL SELECT DISTINCT 'p_size', CAST(p_size AS VARCHAR), 'size' || p_size FROM part WHERE p_size < 10)"
 
 
 @query(f"WITH {_ROUTES} SELECT p_partkey, coalesce((SELECT min(target) FROM keys WHERE kind = 'p_partkey' AND value = CAST(p_partkey AS VARCHAR)), (SELECT min(target) FROM keys WHERE kind = 'p_brand' AND value = p_brand), (SELECT min(target) FROM keys WHERE kind = 'p_size' AND value = CAST(p_size AS VARCHAR))) AS target FROM part")
@@ -114,16 +114,16 @@ def route_by_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to targets by key, else by name, else by class."""
     p = X.read(spark, sf_dir, "part")
     text = lambda c: F.col(c).cast("string")
-    keys = p.where("p_partkey % 10 = 0").select(F.lit("p_partkey").alias("kind"), text("p_partkey").alias("value"), F.concat(F.lit("key"), (F.col("p_partkey") % 7).cast("string")).alias("target"))
-    keys = keys.unionByName(p.where("p_partkey % 500 = 1").select(F.lit("p_brand").alias("kind"), F.col("p_brand").alias("value"), F.lit("brand").alias("target")).distinct())
+    keys = p.where("p_size <= 5").select(F.lit("p_partkey").alias("kind"), text("p_partkey").alias("value"), F.concat(F.lit("key"), (F.col("p_partkey") % 7).cast("string")).alias("target"))
+    keys = keys.unionByName(p.where("p_size = 50 and p_retailprice > 1500").select(F.lit("p_brand").alias("kind"), F.col("p_brand").alias("value"), F.lit("brand").alias("target")).distinct())
     keys = keys.unionByName(p.where("p_size < 10").select(F.lit("p_size").alias("kind"), text("p_size").alias("value"), F.concat(F.lit("size"), text("p_size")).alias("target")).distinct())
     return O.route_rows(p, keys, ["p_partkey", "p_brand", "p_size"]).select("p_partkey", "target")
 
 
-@query("WITH a AS (SELECT c_nationkey AS k, c_custkey AS v, 0 AS source_no FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT s_nationkey, s_suppkey, 1 FROM supplier UNION ALL SELECT n_nationkey, -1, 2 FROM nation) SELECT k, v, source_no FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY source_no, v) AS n FROM a) WHERE n = 1")
+@query("WITH a AS (SELECT c_nationkey AS k, c_custkey AS v, 0 AS source_no FROM customer WHERE c_acctbal < -900 UNION ALL SELECT s_nationkey, s_suppkey, 1 FROM supplier UNION ALL SELECT n_nationkey, -1, 2 FROM nation) SELECT k, v, source_no FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY source_no, v) AS n FROM a) WHERE n = 1")
 def union_priority_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A union in which the first source wins (set operations, H17)."""
-    a = X.read(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("v"))
+    a = X.read(spark, sf_dir, "customer").where("c_acctbal < -900").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("v"))
     b = X.read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("v"))
     c = X.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.lit(-1).cast("long").alias("v"))
     return O.priority_union([a, b, c], ["k"], ["v"]).select("k", "v", "source_no")

@@ -270,7 +270,7 @@ def percentile_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MESS = """
-WITH p AS (SELECT p_partkey AS k, p_size::DOUBLE AS a, p_retailprice AS b FROM part), r AS (SELECT * FROM p WHERE k % 3 = 0 AND a > 5), e AS (SELECT min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb, count(*) AS n FROM r),
+WITH p AS (SELECT p_partkey AS k, p_size::DOUBLE AS a, p_retailprice AS b FROM part), r AS (SELECT * FROM p WHERE a > 5 AND b < 1500), e AS (SELECT min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb, count(*) AS n FROM r),
 f AS (SELECT p.k, p.a, p.b, la, ha, lb, hb, (SELECT count(*) FROM r WHERE r.a <= p.a) / n * 100 AS fa, (SELECT count(*) FROM r WHERE r.b <= p.b) / n * 100 AS fb FROM p, e),
 s AS (SELECT k, CASE WHEN a < la THEN (a - la) / (ha - la) * 100 WHEN a > ha THEN (ha - a) / (ha - la) * 100 WHEN fa <= 50 THEN 2 * fa ELSE 2 * (100 - fa) END AS sa, CASE WHEN b < lb THEN (b - lb) / (hb - lb) * 100 WHEN b > hb THEN (hb - b) / (hb - lb) * 100 WHEN fb <= 50 THEN 2 * fb ELSE 2 * (100 - fb) END AS sb FROM f)
 SELECT k, round(least(sa, sb), 6) AS mess, CASE WHEN sa <= sb THEN 'a' ELSE 'b' END AS worst FROM s"""
@@ -280,7 +280,7 @@ SELECT k, round(least(sa, sb), 6) AS mess, CASE WHEN sa <= sb THEN 'a' ELSE 'b'
 def mess_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity to a reference climate and its worst predictor."""
     p = X.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
-    return rounded(D.similarity(p, p.where("k % 3 = 0 and a > 5"), ["a", "b"], "k"))
+    return rounded(D.similarity(p, p.where("a > 5 and b < 1500"), ["a", "b"], "k"))
 
 
 @query("WITH q AS (SELECT l_partkey % 200 AS cell, l_suppkey % 3 AS period, l_linenumber AS model, CAST(l_quantity * 2 AS INT) AS code, l_tax > 0.06::DOUBLE AS novel FROM lineitem) SELECT cell, period, CAST(round_even(median(code), 0) AS INT) AS code, CAST(round_even(15.0::DOUBLE * count(*) FILTER (code >= 44) / count(*), 0) AS INT) AS agreement, count(*) FILTER (novel) >= greatest(1, ceil(count(*) * 0.5::DOUBLE)) AS novel FROM q GROUP BY 1, 2")
@@ -319,8 +319,8 @@ def spearman_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictors left after pruning by rank correlation."""
     limits = config()["fit"]
     names = ["a", "b", "c"]
-    kept, dropped = D.prune_correlated(presence_background(spark, sf_dir), names, limits["max_correlation"], limits["max_predictors"])
-    return spark.createDataFrame([(n, n in kept, dropped.get(n)) for n in names], "predictor string, kept boolean, instead string")
+    told = D.prune_correlated(presence_background(spark, sf_dir), names, limits["max_correlation"], limits["max_predictors"])
+    return spark.createDataFrame(told.to_records(index=False).tolist(), "predictor string, kept boolean, instead string")
 
 
 @query()
@@ -332,19 +332,56 @@ def block_fold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fit_gbt_presence_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-validated skill of boosted trees in spatial blocks."""
-    f = D.block_folds(presence_background(spark, sf_dir), "x", "y", 200.0, F.col("present") == 1, folds=3)
+    """Cross-validated skill of boosted trees in spatial blocks, on a bounded training sample."""
+    sample = D.training_sample(presence_background(spark, sf_dir), "present", "cell", config()["fit"]["max_presences"])
+    f = D.block_folds(sample, "x", "y", 200.0, F.col("present") == 1, folds=3)
     cv = D.boosted_folds(f, ["a", "b", "c"], "present", "fold", "cell")
     return rounded(D.auc(cv, "raw", F.col("present") == 1, ["fold"]), 4)
 
 
 @query()
 def model_family_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skill of the other models on their own rows."""
-    p = presence_background(spark, sf_dir)
+    """Cross-validated skill of the other models in spatial blocks."""
+    folded = D.block_folds(presence_background(spark, sf_dir), "x", "y", 200.0, F.col("present") == 1, folds=2)
+    train = D.training_sample(folded, "present", "cell", config()["fit"]["max_presences"])
     out = None
     for name in ("rf", "glm", "gam", "maxent"):
-        part = D.auc(D.score(D.fit(p, name, ["a", "b"], "present"), p), "raw", F.col("present") == 1).select(F.lit(name).alias("model"), "auc")
+        part = D.auc(D.cross_validated(folded, name, ["a", "b"], "present", "fold", train=train), "raw", F.col("present") == 1).select(F.lit(name).alias("model"), "auc")
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 3)
+
+
+@query()
+def hindcast_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on window 1, blocked cross-fit, both windows scored: neither the scored block nor window 2 is seen."""
+    p = D.block_folds(presence_background(spark, sf_dir), "x", "y", 200.0, F.col("present") == 1, folds=3)
+    shifted = C.gauss_curve(F.col("a"), 0.6, 0.15) * C.rising_curve(F.col("b"), 0.4, 0.08)
+    later = p.withColumn("a", F.col("a") + 0.1).withColumn("niche", shifted).withColumn("present", (F.col("niche") > (F.col("cell") * 48271 % 1009) / 1009).cast("int"))
+    windows = p.withColumn("window", F.lit(1)).unionByName(later.withColumn("window", F.lit(2)))
+    train = D.training_sample(p, "present", "cell", config()["fit"]["max_presences"])
+    scored = D.cross_validated(windows, "glm", ["a", "b"], "present", "fold", train=train)
+    return rounded(D.auc(scored, "raw", F.col("present") == 1, ["window"]), 3)
+
+
+@query()
+def production_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pruned predictors, a bounded sample, cross-validated skill, the out-of-fold threshold, and the fit on all of it.
+
+    The threshold is the fifth percentile of the out-of-fold scores of presences; share is the cells that the fit puts above it.
+    """
+    limits = config()["fit"]
+    p = presence_background(spark, sf_dir)
+    told = D.prune_correlated(p, ["a", "b", "c"], limits["max_correlation"], limits["max_predictors"])
+    features = told.predictor[told.kept].tolist()
+    folded = D.block_folds(p, "x", "y", 200.0, F.col("present") == 1, folds=2)
+    train = D.training_sample(folded, "present", "cell", limits["max_presences"])
+    out = None
+    for name in ("glm", "gam"):
+        held = D.cross_validated(train, name, features, "present", "fold")
+        bar = held.where("present = 1").agg(F.percentile("raw", F.lit(0.05)).alias("threshold"), F.count("*").alias("presences"))
+        every = D.score(D.fit(train, name, features, "present"), p)
+        share = every.join(F.broadcast(bar)).agg(F.avg((F.col("raw") >= F.col("threshold")).cast("double")).alias("share"), F.first("threshold").alias("threshold"), F.first("presences").alias("presences"))
+        part = share.join(F.broadcast(D.auc(held, "raw", F.col("present") == 1))).select(F.lit(name).alias("model"), "presences", "threshold", "auc", "share")
         out = part if out is None else out.unionByName(part)
     return rounded(out, 3)
 
@@ -353,7 +390,7 @@ def model_family_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def projection_change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fit projected over shifted climates: votes of models, then the change of the range."""
     p = presence_background(spark, sf_dir)
-    model = D.fit(p, "glm", ["a", "b"], "present")
+    model = D.fit(D.training_sample(p, "present", "cell", config()["fit"]["max_presences"]), "glm", ["a", "b"], "present")
     future = p.withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("a0", F.col("a")).withColumn("a", F.col("a") + F.col("model") * 0.03)
     now = D.score(model, p).select("cell", "y", "x", C.quantised(F.col("raw"), F.lit(0.5)).alias("q"))
     later = D.outside(D.score(model, future), p, ["a", "b"]).withColumn("q", C.quantised(F.col("raw"), F.lit(0.5)))

@@ -93,11 +93,11 @@ def nearest_valid_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.snap_to_valid(p, c.where("now"), "cell_id").select("cell_id", "grid_row", F.col("grid_col").cast("int").alias("grid_col"), "d2")
 
 
-@query(f"WITH {_GRID}, p AS (SELECT cell_id, grid_row AS r, grid_col AS c FROM g WHERE cell_id % 2 = 0), v AS (SELECT grid_row, grid_col, score FROM g WHERE later) SELECT cell_id, round(coalesce(avg(score) FILTER (abs(grid_row - r) <= 0 AND abs(grid_col - c) <= 0), avg(score) FILTER (abs(grid_row - r) <= 1 AND abs(grid_col - c) <= 1), avg(score)), 6) AS mean FROM p LEFT JOIN v ON abs(grid_row - r) <= 2 AND abs(grid_col - c) <= 2 GROUP BY 1")
+@query(f"WITH {_GRID}, p AS (SELECT cell_id, grid_row AS r, grid_col AS c FROM g), v AS (SELECT grid_row, grid_col, score FROM g WHERE later) SELECT cell_id, round(coalesce(avg(score) FILTER (abs(grid_row - r) <= 0 AND abs(grid_col - c) <= 0), avg(score) FILTER (abs(grid_row - r) <= 1 AND abs(grid_col - c) <= 1), avg(score)), 6) AS mean FROM p LEFT JOIN v ON abs(grid_row - r) <= 2 AND abs(grid_col - c) <= 2 GROUP BY 1")
 def widening_radius_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means over the smallest square that has any valid cell."""
     c = X.cells(spark, sf_dir)
-    return rounded(S.widening_mean(c.where("cell_id % 2 = 0"), c.where("later"), "cell_id", "score"))
+    return rounded(S.widening_mean(c, c.where("later"), "cell_id", "score"))
 
 
 _BILINEAR = f"""
@@ -160,7 +160,7 @@ def morton_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CITY = f"""
-WITH {_GRID}, c AS (SELECT cell_id AS city, grid_row + 1 AS r, grid_col - 1 AS k FROM g WHERE cell_id % 7 = 0),
+WITH {_GRID}, c AS (SELECT cell_id AS city, grid_row + 1 AS r, grid_col - 1 AS k FROM g),
 h AS (SELECT city, coalesce(bool_or(now), false) AS a, coalesce(bool_or(later), false) AS b FROM c LEFT JOIN g ON abs(grid_row - r) <= 1 AND abs(grid_col - k) <= 1 GROUP BY 1)
 SELECT CASE WHEN a AND b THEN 'keep' WHEN a THEN 'lose' WHEN b THEN 'gain' ELSE 'none' END AS code, count(*) AS n FROM h GROUP BY 1"""
 
@@ -169,7 +169,7 @@ SELECT CASE WHEN a AND b THEN 'keep' WHEN a THEN 'lose' WHEN b THEN 'gain' ELSE
 def city_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the neighbourhood of a city loses, keeps and gains."""
     g = X.cells(spark, sf_dir)
-    c = g.where("cell_id % 7 = 0").select(F.col("cell_id").alias("city"), (F.col("grid_row") + 1).alias("_r"), (F.col("grid_col") - 1).alias("_c"), F.explode(S.neighbours(1)).alias("o"))
+    c = g.select(F.col("cell_id").alias("city"), (F.col("grid_row") + 1).alias("_r"), (F.col("grid_col") - 1).alias("_c"), F.explode(S.neighbours(1)).alias("o"))
     c = c.select("city", (F.col("_r") + F.col("o.di")).alias("grid_row"), (F.col("_c") + F.col("o.dj")).alias("grid_col"))
     seen = lambda x: F.coalesce(F.bool_or(x), F.lit(False))
     h = c.join(g.select("grid_row", "grid_col", "now", "later"), ["grid_row", "grid_col"], "left").groupBy("city").agg(seen("now").alias("a"), seen("later").alias("b"))

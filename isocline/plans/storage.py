@@ -78,12 +78,12 @@ def manifest_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.manifest(X.cells(spark, sf_dir), "species")
 
 
-@query("WITH e AS (SELECT s_name AS label, s_nationkey AS country FROM supplier WHERE s_suppkey % 2 = 0) SELECT label, country FROM e UNION ALL SELECT s_name, s_nationkey FROM supplier WHERE s_suppkey % 3 = 0 AND s_name NOT IN (SELECT label FROM e)")
+@query("WITH e AS (SELECT s_name AS label, s_nationkey AS country FROM supplier WHERE s_acctbal < 5000) SELECT label, country FROM e UNION ALL SELECT s_name, s_nationkey FROM supplier WHERE s_acctbal > 2000 AND s_name NOT IN (SELECT label FROM e)")
 def append_without_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New rows whose label isn't there yet."""
     s = X.read(spark, sf_dir, "supplier").select(F.col("s_name").alias("label"), F.col("s_nationkey").alias("country"), "s_suppkey")
     pick = lambda test: s.where(test).drop("s_suppkey")
-    return sinks.appended(pick("s_suppkey % 2 = 0"), pick("s_suppkey % 3 = 0"), "label")
+    return sinks.appended(pick("s_acctbal < 5000"), pick("s_acctbal > 2000"), "label")
 
 
 @query(f"WITH {X.CELLS_SQL} SELECT 'r' || (grid_row // 1080) || 'c' || (grid_col // 2160) AS tile, count(*) AS n, round(sum(km2), 6) AS km2 FROM cells GROUP BY 1")

@@ -97,7 +97,7 @@ def preferred_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def species_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     unit = lambda a, n: (k * a % n) / n
-    return X.read(spark, sf_dir, "part").where("p_partkey < 1200").select(
+    return X.read(spark, sf_dir, "part").select(
         (k % 12).alias("survey"), k.alias("species"), (k % 5 > 0).alias("eligible"), F.when(k % 9 > 0, k * 7 % 10 < 4 + k % 12).alias("direction_agree"), F.when(k % 8 > 0, unit(11, 97) + 0.3 + (k % 12) * 0.1).alias("ratio"),
         F.when(k % 6 > 0, unit(13, 89)).alias("correlation"), (unit(17, 83) * 100).alias("error"), F.when(k % 10 > 0, unit(19, 79) * 100 + (k % 12) * 4).alias("error_null"), (k * 3 % 10 < 6).alias("area_sign"), (k * 9 % 10 < 3 + k % 12).alias("beats_null"),
         F.when(k % 11 > 0, k % 4 > 0).alias("cv_gate"), F.when(k % 13 > 0, k % 3 > 0).alias("transfer_ok"), unit(23, 73).alias("boyce2"),
@@ -119,8 +119,8 @@ def species_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ROUTE = f"""
-WITH {X.CELLS_SQL}, routes AS (SELECT cell_id AS route, CAST(grid_row // 20 AS INT) AS grid_row, CAST(grid_col // 20 AS INT) AS grid_col, lat, lon FROM cells WHERE cell_id % 2 = 0), presence AS (SELECT cell_id AS route, now AS p1, later AS p2 FROM cells WHERE cell_id % 5 > 0),
-scores AS (SELECT CAST(grid_row // 20 AS INT) AS grid_row, CAST(grid_col // 20 AS INT) AS grid_col, avg(score) AS score1, max(score) AS score2 FROM cells WHERE grid_row % 3 > 0 GROUP BY 1, 2)
+WITH {X.CELLS_SQL}, routes AS (SELECT cell_id AS route, CAST(grid_row // 20 AS INT) AS grid_row, CAST(grid_col // 20 AS INT) AS grid_col, lat, lon FROM cells), presence AS (SELECT cell_id AS route, now AS p1, later AS p2 FROM cells WHERE now OR later),
+scores AS (SELECT CAST(grid_row // 20 AS INT) AS grid_row, CAST(grid_col // 20 AS INT) AS grid_col, avg(score) AS score1, max(score) AS score2 FROM cells WHERE score > 0.3::DOUBLE GROUP BY 1, 2)
 SELECT grid_row, grid_col, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, bool_or(coalesce(p1, false)) AS p1, bool_or(coalesce(p2, false)) AS p2, count(DISTINCT route) AS routes, round(avg(score1), 6) AS score1, round(avg(score2), 6) AS score2 FROM routes LEFT JOIN presence USING (route) JOIN scores USING (grid_row, grid_col) GROUP BY 1, 2"""
 
 
@@ -129,9 +129,9 @@ def route_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes to cells with presence and mean scores."""
     c = X.cells(spark, sf_dir)
     coarse = [F.floor(F.col(n) / 20).cast("int").alias(n) for n in ("grid_row", "grid_col")]
-    routes = c.where("cell_id % 2 = 0").select(F.col("cell_id").alias("route"), *coarse, "lat", "lon")
-    presence = c.where("cell_id % 5 > 0").select(F.col("cell_id").alias("route"), F.col("now").alias("p1"), F.col("later").alias("p2"))
-    scores = c.where("grid_row % 3 > 0").groupBy(*coarse).agg(F.avg("score").alias("score1"), F.max("score").alias("score2"))
+    routes = c.select(F.col("cell_id").alias("route"), *coarse, "lat", "lon")
+    presence = c.where("now or later").select(F.col("cell_id").alias("route"), F.col("now").alias("p1"), F.col("later").alias("p2"))
+    scores = c.where("score > 0.3").groupBy(*coarse).agg(F.avg("score").alias("score1"), F.max("score").alias("score2"))
     return rounded(survey.route_cells(routes, presence, scores))
 
 
@@ -171,7 +171,7 @@ def dominant_continent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mahalanobis_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances from a reference cloud, with a trimmed fit."""
     p = X.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 100).alias("b"))
-    return rounded(E.mahalanobis_novelty(p, p.where("k % 3 = 0"), ["a", "b"], "k", trim=0.95), 4)
+    return rounded(E.mahalanobis_novelty(p, p.where("a > 10"), ["a", "b"], "k", trim=0.95), 4)
 
 
 @query()
@@ -241,17 +241,19 @@ def extras_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(a.groupBy("s").agg(F.sum(F.when(F.abs(d) > 2, 1).otherwise(0)).alias("moved"), F.median(d).alias("change")))
 
 
-@query()
-def estimator_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least squares of the hardiness estimator on its own values: the coefficients come back."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+_CALIBRATION = f"""
+WITH {X.CLIMATE_SQL}, c AS (SELECT place_id, country, min(tmin) AS cold, max(vap) AS v FROM climate GROUP BY 1, 2), o AS (SELECT country, cold, cold * 0.9::DOUBLE - v * 4 + place_id * 31 % 17 / 5::DOUBLE AS seen FROM c)
+SELECT country, count(*) AS n, round(greatest(regr_slope(seen, cold), 0), 6) AS slope, round(avg(seen) - greatest(regr_slope(seen, cold), 0) * avg(cold), 6) AS intercept FROM o GROUP BY 1"""
+
 
+@query(_CALIBRATION)
+def estimator_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least squares of observed extremes on the coldest month, a line for each country with no negative slope."""
     c = X.climate(spark, sf_dir)
-    rain = F.log1p(C.total(F.col("ppt")))
-    t = c.select(F.array_min("tmin").alias("cold"), (F.array_max("tmax") - F.array_min("tmin")).alias("range"), rain.alias("rain"), C.extreme_min(F.col("tmax"), F.col("tmin"), F.col("ppt")).alias("y"))
-    m = LinearRegression(featuresCol="x", labelCol="y", solver="normal").fit(VectorAssembler(inputCols=["cold", "range", "rain"], outputCol="x").transform(t))
-    return rounded(spark.createDataFrame([("intercept", float(m.intercept)), *zip(("cold", "range", "rain"), map(float, m.coefficients), strict=True)], "term string, value double"), 4)
+    cold = F.array_min("tmin")
+    o = c.select("country", cold.alias("cold"), (cold * 0.9 - F.array_max("vap") * 4 + F.col("place_id") * 31 % 17 / 5).alias("seen"))
+    slope = F.greatest(F.regr_slope("seen", "cold"), F.lit(0.0))
+    return rounded(o.groupBy("country").agg(F.count("*").alias("n"), slope.alias("slope"), (F.avg("seen") - slope * F.avg("cold")).alias("intercept")))
 
 
 @query()
@@ -292,31 +294,31 @@ def worst_fifteen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.read(spark, sf_dir, "part").orderBy(F.col("p_retailprice").desc(), "p_partkey").limit(15).select("p_partkey", "p_retailprice")
 
 
-@query(f"WITH {X.CLIMATE_SQL} SELECT place_id, CAST(m AS INT) AS m, round(tmax + 273.15::DOUBLE - 273.15::DOUBLE, 6) AS celsius, round(ppt / 86400 * 86400, 6) AS mm, round(ln(greatest(0.2::DOUBLE, least(5.0::DOUBLE, CASE WHEN ppt > 0.05::DOUBLE THEN rp ELSE 1 END))), 6) AS log_ratio FROM climate")
+@query(f"WITH {X.CLIMATE_SQL}, u AS (SELECT p_partkey, 220 + p_size::DOUBLE * 2 AS kelvin, p_retailprice / 1e8::DOUBLE AS rate FROM part) SELECT p_partkey, round(kelvin - 273.15::DOUBLE, 6) AS celsius, round(rate * 86400, 6) AS mm FROM u")
 def unit_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kelvin, rates and logarithms of ratios."""
-    c = X.climate_long(spark, sf_dir, changes=True)
-    kelvin, rate = F.col("tmax") + 273.15, F.col("ppt") / 86400
-    return rounded(c.select("place_id", "m", (kelvin - 273.15).alias("celsius"), (rate * 86400).alias("mm"), F.log(C.clip(F.when(F.col("ppt") > 0.05, F.col("rp")).otherwise(F.lit(1.0)), 0.2, 5.0)).alias("log_ratio")))
+    """Kelvin to degrees, and kg a square metre and second to mm a day."""
+    p = X.read(spark, sf_dir, "part").select("p_partkey", (220 + F.col("p_size") * 2.0).alias("kelvin"), (F.col("p_retailprice") / 1e8).alias("rate"))
+    return rounded(p.select("p_partkey", C.celsius(F.col("kelvin")).alias("celsius"), C.mm_a_day(F.col("rate")).alias("mm")))
 
 
 @query()
 def virtual_species_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A virtual species fitted and compared with its truth."""
+    """A virtual species fitted and compared with its truth in blocks that the fit has not seen."""
     from .skill import presence_background
 
-    p = presence_background(spark, sf_dir)
-    scored = D.score(D.fit(p, "glm", ["a", "b"], "present"), p)
+    p = D.block_folds(presence_background(spark, sf_dir), "x", "y", 200.0, F.col("present") == 1, folds=2)
+    train = D.training_sample(p, "present", "cell", config()["fit"]["max_presences"])
+    scored = D.cross_validated(p, "glm", ["a", "b"], "present", "fold", train=train)
     truth = scored.withColumn("truth", F.col("niche") >= 0.5).withColumn("predicted", F.col("raw") >= 0.6).withColumn("km2", F.lit(1.0)).withColumn("all", F.lit("one"))
     return rounded(R.agreement(truth, ["all"], "predicted", "truth"), 2)
 
 
-@query(f"WITH {X.CELLS_SQL}, b AS (SELECT cell_id, CAST(grid_row // 6 AS INT) AS r, CAST(grid_col // 6 AS INT) AS c, grid_row, grid_col, score FROM cells), boxes AS (SELECT DISTINCT r, c FROM b WHERE cell_id % 10 = 0), px AS (SELECT r, c, r * 6 + i AS pr, c * 6 + j AS pc FROM boxes, range(0, 6) t(i), range(0, 6) s(j)) SELECT px.r, px.c, round(avg(score), 6) AS mean, count(score) AS n FROM px LEFT JOIN b ON pr = grid_row AND pc = grid_col GROUP BY 1, 2")
+@query(f"WITH {X.CELLS_SQL}, b AS (SELECT cell_id, CAST(grid_row // 6 AS INT) AS r, CAST(grid_col // 6 AS INT) AS c, grid_row, grid_col, score FROM cells), boxes AS (SELECT DISTINCT r, c FROM b), px AS (SELECT r, c, r * 6 + i AS pr, c * 6 + j AS pc FROM boxes, range(0, 6) t(i), range(0, 6) s(j)) SELECT px.r, px.c, round(avg(score), 6) AS mean, count(score) AS n FROM px LEFT JOIN b ON pr = grid_row AND pc = grid_col GROUP BY 1, 2")
 def box_pixel_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means over the 6 by 6 pixels of coarse cells."""
     c = X.cells(spark, sf_dir)
     coarse = [F.floor(F.col(n) / 6).cast("int").alias(n) for n in ("grid_row", "grid_col")]
-    boxes = S.box_pixels(c.where("cell_id % 10 = 0").select(*coarse).distinct(), 6)
+    boxes = S.box_pixels(c.select(*coarse).distinct(), 6)
     fine = c.select(F.col("grid_row").alias("pixel_row"), F.col("grid_col").alias("pixel_col"), "score")
     met = boxes.join(fine, ["pixel_row", "pixel_col"], "left")
     return rounded(met.groupBy(F.col("grid_row").alias("r"), F.col("grid_col").alias("c")).agg(F.avg("score").alias("mean"), F.count("score").alias("n")))
