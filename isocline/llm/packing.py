@@ -90,7 +90,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 1, m
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Without most_docs and most_cost, those two capacities are as large as a sequence can need, and only choose.
-    A null or empty text is one piece that holds the end id. Repeated rows are packed as often as they come; a null doc_id
+    Texts of any length count whole. Of pieces of one length the order is that of their ids, and of bins that fit equally well
+    the first is taken. A null or empty text is one piece that holds the end id. Repeated rows are packed as often as they come; a null doc_id
     is carried along. An empty table gives an empty result; further columns are not read.
     """
     pieces = staged(tokenized_pieces(docs, tokenizer, length, end_id), "pieces")

@@ -28,6 +28,13 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Texts on which a shortcut must equal the library before it is taken: a vocabulary of another kind fails on one of them.
+PROBES = (
+    "The quick, brown FOX jumps... over 13 lazy dogs!", "Élan vital, naïve Straße; ÀÉÎ õ ü ß", "it's we're DON'T o'clock's", "tabs\tand\nlines \n\n  spaces   x", "a.b,c d!! e?? f*** g### 1,234.56 7a8",
+    "日本語 テスト 한국어 русский текст", "🙂 ok 🙂🙂", "under_score kebab-case CamelCase http://example.com/a?b=c#d", "x" * 70 + " " + "ab" * 40, "e\u0301 n\u0303", "(brackets) [and] {braces} <tags>", "Word. word, Word! word|",
+)
+
+
 class _Memory(dict):
     """Two generations: when the younger is full, it becomes the older, so that frequent parts stay."""
 
@@ -67,7 +74,10 @@ def _byte_letters() -> dict[int, int]:
 
 
 class TokenCounter:
-    """Counts tokens of a byte-level vocabulary: lone pre-tokens directly, by merges only the rest."""
+    """Counts tokens of a byte-level vocabulary: lone pre-tokens directly, by merges only the rest.
+
+    Where a vocabulary of another kind differs on a probe, the library counts whole texts.
+    """
 
     ELSEWHERE = -(1 << 60)
     LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
@@ -80,6 +90,11 @@ class TokenCounter:
         self.lone = lone_tokens(self.tokenizer)
         self.merged = _Memory(lambda p: len(self.tokenizer.model.tokenize(p)))
         self.first, self.spaced = _Memory(self._pieces), _Memory(self._spaced)
+        self.whole = False
+        self.whole = any(self.count(p) != self._library(p) for p in PROBES)
+
+    def _library(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _pieces(self, text: str) -> int:
         return sum(1 if p in self.lone else self.merged[p] for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
@@ -97,8 +112,8 @@ class TokenCounter:
         return self._pieces(" " + part)
 
     def count(self, text: str) -> int:
-        if any(s in text for s in self.special):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if self.whole or any(s in text for s in self.special):
+            return self._library(text)
         parts = text.split(" ")
         if not parts[0]:
             return self._pieces(text) if text else 0
@@ -109,7 +124,8 @@ class TokenCounter:
 class WordEncoder:
     """Ids of a vocabulary that composes, lower-cases and drops white space, so that its words are independent; as little-endian bytes.
 
-    Letters, and marks after them, are pre-tokens by themselves; other parts are cut by the library.
+    Letters, and marks after them, are pre-tokens by themselves; other parts are cut by the library. Where a vocabulary of
+    another kind differs on a probe, the library encodes whole texts.
     """
 
     LETTERS = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
@@ -121,7 +137,13 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.parts = _Memory(self._part)
-        self.cut, self.merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if "<|" not in t.content)
+        self.cut, self.merge = self.tokenizer.pre_tokenizer and self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
+        self.whole = not self.cut
+        self.whole = self.whole or any(self.ids(p) != self._library(p) for p in PROBES)
+
+    def _library(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _part(self, part: str) -> bytes:
         if self.LETTERS(part):
@@ -133,8 +155,8 @@ class WordEncoder:
         return _packed([t.id for w in words for t in self.merge(w)])
 
     def ids(self, text: str) -> bytes:
-        if any(x in text for x in self.ODD):
-            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if self.whole or any(x in text for x in self.ODD) or self.special and any(x in text for x in self.special):
+            return self._library(text)
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
         return b"".join(map(self.parts.__getitem__, text.lower().split()))
 

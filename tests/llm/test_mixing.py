@@ -83,3 +83,27 @@ def test_flight_keeps_its_totals_and_landing_comes_near():
     assert abs((landing(size, out) * size).sum() - (p * size).sum()) < 20
     same = flight(np.full(9, 4), np.full(9, 0.5), np.random.default_rng(1))
     assert same.sum() == pytest.approx(4.5)
+
+
+def test_registered_sizes_and_takings(spark, sf):
+    import brute
+
+    from isocline.llm.queries import QUERIES
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op1_mix_sources"](spark, sf).collect()
+    assert {r.doc_id: r.size for r in rows} == {i: len(brute.words(d.text)) for i, d in docs.items()}
+    sizes, taken = {}, {}
+    for r in rows:
+        source = docs[r.doc_id].source
+        sizes[source] = sizes.get(source, 0) + r.size
+        taken[source] = taken.get(source, 0) + r.taken
+    want = targets(sizes)
+    assert {docs[r.doc_id].source: r.target for r in rows} == pytest.approx(want)
+    assert all(abs(taken[s] - want[s]) <= max(6, 0.01 * want[s]) for s in want)
+
+
+def test_a_text_of_megabytes_and_words_of_other_space(spark):
+    rows = [(1, "w " * 1_500_000, "a"), (2, "x\u00a0y\u2003z a\x0bb\x0cc", "a"), (3, "\x1cq", None)]
+    got = {r.doc_id: r.size for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {1: 1_500_000, 2: 4, 3: 1}

@@ -97,3 +97,50 @@ def test_every_capacity_holds(rule):
             plain.append([x])
     assert bins.max() + 1 <= len(plain) + 2
     assert len(set(vector_best_fit(np.array([10, 10, 12]), (10, 9, 10**6)).tolist())) == 3
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_vocabulary_of_another_kind_is_left_to_the_library(spark, sf, name):
+    path = vocab.public_path(name)
+    ids = plain(path)
+    counter, encoder = vocab.TokenCounter(path), vocab.WordEncoder(path)
+    assert counter.whole == (name != "byte_bpe_50k.json") and encoder.whole == (name != "word_bpe_49k.json")
+    for text in [*ODD, *vocab.PROBES, *(t or "" for t in texts(spark, sf)[:40])]:
+        assert counter.count(text) == len(ids(text))
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == ids(text)
+
+
+def test_registered_packing_holds_every_token_once(spark, sf):
+    from isocline.llm.queries import QUERIES
+
+    ids = plain(vocab.public_path("word_bpe_49k.json"))
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op5_best_fit_packing"](spark, sf).collect()
+    total = 0
+    for doc, text in docs.items():
+        whole = np.array([*ids(text or ""), 1], "<u4")
+        total += len(whole)
+        pieces = sorted((r for r in rows if r.doc_id == doc), key=lambda r: r.piece)
+        assert [(r.piece, r.start, r.length) for r in pieces] == [(k, a, min(4096, len(whole) - a)) for k, a in enumerate(range(0, len(whole), 4096))]
+        assert all(r.ids_crc32 == zlib.crc32(whole[r.start : r.start + r.length].tobytes()) for r in pieces)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in sequences.values():
+        ends = [0] + [a + n for a, n in sorted(held)]
+        assert [a for a, _ in sorted(held)] == ends[:-1] and ends[-1] <= 4096
+    assert len(sequences) <= -(-total // 4096) + 1
+
+
+def test_very_long_repeated_and_equal_texts(spark):
+    """A text of 3 MB, rows that repeat and pieces of one length: nothing is lost, and ties change nothing."""
+    path = vocab.public_path("word_bpe_49k.json")
+    long = "Mixed words, 12 of them; " * 120_000
+    rows = [(1, long, "x")] + [(2, "the same words " * 100, "x")] * 30 + [(None, None, "x")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, piece string")
+    out = pack(df, path).collect()
+    same = plain(path)("the same words " * 100)
+    assert sum(r.doc_id == 2 for r in out) == 30 and {r.length for r in out if r.doc_id == 2} == {len(same) + 1} and sum(r.doc_id is None for r in out) == 3
+    assert sum(r.length for r in out if r.doc_id == 1) == len(plain(path)(long)) + 1
+    counts = {r.doc_id: r.n_tokens for r in token_counts(df, vocab.public_path("byte_bpe_50k.json")).collect()}
+    assert counts[1] == len(plain(vocab.public_path("byte_bpe_50k.json"))(long)) and counts[None] == 0
