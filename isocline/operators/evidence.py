@@ -20,7 +20,9 @@ RANKS = ("ok", "moderate", "high")
 
 def region_of(df: DataFrame, regions: DataFrame, country: str = "country", lat: str = "lat") -> DataFrame:
     """A column `region` from (country, region), unknown ones as Other; the United States south of 23 N are Oceania."""
-    named = df.join(F.broadcast(regions.select(F.col("country").alias("_c"), "region")), F.col(country) == F.col("_c"), "left").drop("_c")
+    side = regions.select(F.col("country").alias("_c"), "region")
+    side = F.broadcast(side) if side.count() <= 100_000 else side
+    named = df.join(side, F.col(country) == F.col("_c"), "left").drop("_c")
     return named.withColumn("region", F.when((F.col(country) == "US") & (F.col(lat) < 23), F.lit("Oceania")).otherwise(F.coalesce("region", F.lit("Other"))))
 
 

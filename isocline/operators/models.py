@@ -64,20 +64,18 @@ def percentile_of(df: DataFrame, reference: DataFrame, score: str, by: Sequence[
 
 
 def similarity(df: DataFrame, reference: DataFrame, predictors: Sequence[str], key: str) -> DataFrame:
-    """key, mess, worst: the least univariate similarity to the reference in per cent (negative: novel), and its predictor."""
-    out = df.select(key, *predictors)
-    ends = reference.agg(*[f(p).alias(f"_{n}_{p}") for p in predictors for n, f in (("lo", F.min), ("hi", F.max))])
-    out = out.join(F.broadcast(ends))
-    for p in predictors:
-        out = percentile_of(out, reference, p).withColumnRenamed("percentile", f"_f_{p}")
-    scores = []
-    for p in predictors:
-        x, lo, hi, f = F.col(p), F.col(f"_lo_{p}"), F.col(f"_hi_{p}"), F.col(f"_f_{p}") * 100
-        wide = F.greatest(hi - lo, F.lit(1e-12))
-        s = F.when(x < lo, (x - lo) / wide * 100).when(x > hi, (hi - x) / wide * 100).when(f <= 50, 2 * f).otherwise(2 * (100 - f))
-        scores.append(F.struct(s.alias("s"), F.lit(p).alias("p")))
-    worst = F.array_min(F.array(*scores))
-    return out.select(key, worst["s"].alias("mess"), worst["p"].alias("worst"))
+    """key, mess, worst: the least univariate similarity to the reference in per cent (negative: novel), and its predictor.
+
+    Predictors are rows of one table, so that one pass ranks them all. key names a row.
+    """
+    stacked = lambda t, *more: t.select(*more, F.explode(F.array(*[F.struct(F.lit(p).alias("_p"), F.col(p).cast("double").alias("_x")) for p in predictors])).alias("_v")).select(*more, "_v.*")
+    known = stacked(reference)
+    ends = known.groupBy("_p").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    placed = percentile_of(stacked(df, key), known, "_x", ["_p"]).join(F.broadcast(ends), "_p", "left")
+    x, lo, hi, f = F.col("_x"), F.col("_lo"), F.col("_hi"), F.col("percentile") * 100
+    wide = F.greatest(hi - lo, F.lit(1e-12))
+    s = F.when(x < lo, (x - lo) / wide * 100).when(x > hi, (hi - x) / wide * 100).when(f <= 50, 2 * f).otherwise(2 * (100 - f))
+    return placed.groupBy(key).agg(F.min(F.struct(s.alias("s"), F.col("_p").alias("p"))).alias("_w")).select(key, F.col("_w.s").alias("mess"), F.col("_w.p").alias("worst"))
 
 
 def outside(df: DataFrame, reference: DataFrame, predictors: Sequence[str]) -> DataFrame:

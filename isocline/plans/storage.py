@@ -91,3 +91,52 @@ def tile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells by storage tile."""
     c = X.cells(spark, sf_dir)
     return rounded(c.groupBy(tables.tile_of(F.col("grid_row"), F.col("grid_col")).alias("tile")).agg(F.count("*").alias("n"), F.sum("km2").alias("km2")))
+
+
+@query(f"WITH {X.CELLS_SQL} SELECT grid_row, grid_col, round(max(CAST(floor(score * 20000) AS INT) - 5000) * 0.01::DOUBLE, 6) AS value FROM cells GROUP BY 1, 2")
+def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells written to binary pages and read again (K3, K11, S27, S28); a task holds one page."""
+    import numpy as np
+    import pandas as pd
+
+    from ..functions.packed import SIDE, pack_page, unpack_page
+
+    value = (F.floor(F.col("score") * 20_000) - 5_000).cast("int")
+    c = X.cells(spark, sf_dir).groupBy("grid_row", "grid_col").agg(F.max(value).alias("value"))
+    c = c.withColumn("r", F.floor(F.col("grid_row") / SIDE).cast("int")).withColumn("c", F.floor(F.col("grid_col") / SIDE).cast("int"))
+
+    def write(page: pd.DataFrame) -> pd.DataFrame:
+        slots = (page.grid_row % SIDE * SIDE + page.grid_col % SIDE).to_numpy()
+        return pd.DataFrame({"r": page.r[:1], "c": page.c[:1], "page": [pack_page(slots, page.value.to_numpy(), 0.01)]})
+
+    def read(frames):
+        for frame in frames:
+            for r, col, page in frame.itertuples(index=False):
+                slots, values = unpack_page(page)
+                yield pd.DataFrame({"grid_row": (slots // SIDE + r * SIDE).astype(np.int32), "grid_col": (slots % SIDE + col * SIDE).astype(np.int32), "value": values})
+
+    pages = c.groupBy("r", "c").applyInPandas(write, "r int, c int, page binary")
+    return rounded(pages.mapInPandas(read, "grid_row int, grid_col int, value double"))
+
+
+@query(f"WITH {X.CLIMATE_SQL}, d AS (SELECT place_id, CAST(m AS INT) AS m, round(dtx * 8) / 8 AS d FROM climate) SELECT place_id, m, d FROM d")
+def half_precision_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes in eighths of a degree, kept as half-precision numbers without loss (K8)."""
+    from ..functions.packed import halves
+
+    def kept(frames):
+        for frame in frames:
+            yield frame.assign(d=halves(frame.d.to_numpy()))
+
+    c = X.climate_long(spark, sf_dir, changes=True).select("place_id", "m", (F.round(F.col("dtx") * 8) / 8).alias("d"))
+    return c.mapInPandas(kept, c.schema)
+
+
+@query(f"WITH {X.CLIMATE_SQL}, c AS (SELECT place_id, country, avg(dtx) AS tx, sum(rp) AS rp FROM climate GROUP BY 1, 2), r AS (SELECT *, ntile(4) OVER (PARTITION BY country ORDER BY place_id) AS shard FROM c) SELECT country, CAST(shard AS INT) AS shard, count(*) AS places, round(avg(tx), 6) AS tx, round(avg(rp), 6) AS rp FROM r WHERE shard < 3 GROUP BY 1, 2")
+def place_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of the places of some shards, read from a table that is written by shard."""
+    from pyspark.sql import Window
+
+    c = X.climate(spark, sf_dir, changes=True).select("place_id", "country", F.aggregate("dtx", F.lit(0.0), lambda a, b: a + b).alias("tx"), F.aggregate("rp", F.lit(0.0), lambda a, b: a + b).alias("rp"))
+    shard = F.ntile(4).over(Window.partitionBy("country").orderBy("place_id"))
+    return rounded(c.withColumn("shard", shard).where("shard < 3").groupBy("country", "shard").agg(F.count("*").alias("places"), F.avg(F.col("tx") / 12).alias("tx"), F.avg("rp").alias("rp")))
