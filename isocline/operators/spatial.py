@@ -67,6 +67,15 @@ def snap_to_valid(points: DataFrame, valid: DataFrame, key: str, rings: int = 3,
     return best.select(key, "b.grid_row", "b.grid_col", "b.d2")
 
 
+def filled_change(cells: DataFrame, key: str, change: str, rings: int = 3) -> DataFrame:
+    """key, change, filled: cells without a change, such as ocean, take that of the nearest cell within the rings that has one; others stay null."""
+    known, lost = cells.where(F.col(change).isNotNull()), cells.where(F.col(change).isNull())
+    near = snap_to_valid(lost, known, key, rings).select(key, "grid_row", "grid_col")
+    taken = near.join(known.select("grid_row", "grid_col", change), ["grid_row", "grid_col"]).select(key, change)
+    rest = lost.select(key).join(taken, key, "left").withColumn("filled", F.col(change).isNotNull())
+    return known.select(key, change, F.lit(False).alias("filled")).unionByName(rest)
+
+
 def block_mean(cells: DataFrame, value: str, n: int) -> DataFrame:
     """block_row, block_col, mean of what is there, and the share of the block's cells that is."""
     at = cells.withColumn("block_row", F.floor(F.col("grid_row") / n).cast("int")).withColumn("block_col", F.floor(F.col("grid_col") / n).cast("int"))

@@ -183,3 +183,17 @@ def suitable_bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = X.cells(spark, sf_dir).where("score >= 0.5")
     q = lambda col, p: F.percentile(col, F.lit(p))
     return rounded(c.groupBy("species").agg(F.greatest(q("lat", 0.01) - 3, F.lit(-90.0)).alias("south"), F.least(q("lat", 0.99) + 3, F.lit(90.0)).alias("north"), (q("lon", 0.01) - 3).alias("west"), (q("lon", 0.99) + 3).alias("east")))
+
+
+_FILL = f"""
+WITH {_GRID}, px AS (SELECT min(cell_id) AS cell_id, grid_row, grid_col, avg(score) FILTER (later) - avg(score) FILTER (now) AS change FROM g GROUP BY 2, 3),
+h AS (SELECT a.cell_id, b.change, row_number() OVER (PARTITION BY a.cell_id ORDER BY (a.grid_row - b.grid_row) ** 2 + (a.grid_col - b.grid_col) ** 2, b.grid_row, b.grid_col) AS k FROM px a JOIN px b ON abs(a.grid_row - b.grid_row) <= 3 AND abs(a.grid_col - b.grid_col) <= 3 WHERE a.change IS NULL AND b.change IS NOT NULL)
+SELECT px.cell_id, round(coalesce(px.change, h.change), 6) AS change, px.change IS NULL AND h.change IS NOT NULL AS filled FROM px LEFT JOIN h ON px.cell_id = h.cell_id AND k = 1"""
+
+
+@query(_FILL)
+def change_with_ocean_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes between two periods, ocean cells filled from their nearest land cell."""
+    mean = lambda when: F.avg(F.when(F.col(when), F.col("score")))
+    px = X.cells(spark, sf_dir).groupBy("grid_row", "grid_col").agg(F.min("cell_id").alias("cell_id"), (mean("later") - mean("now")).alias("change"))
+    return rounded(S.filled_change(px, "cell_id", "change"))
