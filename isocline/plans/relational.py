@@ -149,7 +149,7 @@ def text_search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
 def latest_version_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest row of each key."""
+    """The latest row of each key."""
     return T.latest_version(X.read(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
@@ -188,7 +188,7 @@ SELECT g, count(*) AS n, round(avg(CASE WHEN moved THEN 1 ELSE 0 END), 6) AS mov
 
 @query(_RELEASE)
 def release_comparison_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """This release against the previous one, by group (J26, A27, K13 gates)."""
+    """This release against the previous one, by group."""
     c, k = X.read(spark, sf_dir, "customer"), F.col("c_custkey")
     before = c.select(k.alias("k"), F.col("c_nationkey").alias("g"), ((k * 7 % 100) / 40).alias("before"))
     after = c.where("c_custkey % 29 <> 0").select(k.alias("k"), ((k * 7 % 100) / 40 + (k % 13) / 50).alias("after"), (k % 11 == 0).alias("moved"))

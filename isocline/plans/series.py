@@ -91,7 +91,7 @@ def area_weighted_annual_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH e AS (SELECT l_suppkey AS k, l_partkey % 6 AS model, CASE WHEN l_partkey % 6 = 5 AND l_suppkey % 3 = 0 THEN NULL ELSE avg(l_quantity) END AS v FROM lineitem GROUP BY l_suppkey, l_partkey % 6) SELECT k, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(min(v), 1) AS low, round(max(v), 1) AS high, round(avg(v) FILTER (model < 4), 6) AS likely, count(v) AS models, count(v) >= 3 AS offered FROM e GROUP BY k")
 def ensemble_mean_median_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means, medians and ranges over the models that are there, and over a likely subset."""
+    """Means, medians and ranges over the models that are there, and over a likely subset."""
     e = X.read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 6).alias("model")).agg(F.avg("l_quantity").alias("v"))
     e = e.withColumn("v", F.when(~((F.col("model") == 5) & (F.col("k") % 3 == 0)), F.col("v")))
     out = e.groupBy("k").agg(F.avg("v").alias("mean"), F.median("v").alias("median"), F.round(F.min("v"), 1).alias("low"), F.round(F.max("v"), 1).alias("high"), F.avg(F.when(F.col("model") < 4, F.col("v"))).alias("likely"), F.count("v").alias("models"))
@@ -166,7 +166,7 @@ def complete_cycles_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH b AS (SELECT l_partkey % 300 // 12 AS block_row, l_suppkey // 12 AS block_col, count(*) FILTER (l_shipdate < TIMESTAMP '1998-01-01') AS p1, count(*) FILTER (l_shipdate >= TIMESTAMP '1998-01-01') AS p2 FROM lineitem GROUP BY 1, 2) SELECT CAST(block_row AS INT) AS block_row, CAST(block_col AS INT) AS block_col, p1, p2, p1 >= 200 AND p2 >= 200 AS well, p1 >= 250 AND p2 >= 250 AS strict FROM b")
 def well_sampled_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Effort by block and period, and the blocks with enough of both."""
+    """Effort by block and period, and the blocks with enough of both."""
     from ..operators.survey import effort_blocks
 
     li = X.read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 300).alias("grid_row"), F.col("l_suppkey").alias("grid_col"), F.when(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp"), 1).otherwise(2).alias("period"))
@@ -195,7 +195,7 @@ _DETECT = "WITH d AS (SELECT DISTINCT l_suppkey AS route, l_partkey % 9 AS speci
 
 @query(_DETECT)
 def detections_two_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct years of detection by route, species and window."""
+    """Distinct years of detection by route, species and window."""
     from ..operators.survey import detections
 
     d = X.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("route"), (F.col("l_partkey") % 9).alias("species"), F.year("l_shipdate").alias("y"))

@@ -103,7 +103,7 @@ def place_metric_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def analog_metric_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest row in each place's own metric, as a sigma."""
+    """The nearest row in each place's own metric, as a sigma."""
     s = _series(spark, sf_dir)
     m = M.place_metrics(s).select(F.col("place").alias("target"), "k", "m")
     means = s.select("place", F.posexplode("vec").alias("i", "x")).groupBy("place", "i").agg(F.avg("x").alias("x")).groupBy(F.col("place").alias("target")).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("target", F.transform("v", lambda r: r["x"] + 0.5).alias("vec"))

@@ -80,7 +80,7 @@ _GRID = f"{X.CELLS_SQL}, g AS (SELECT cell_id, grid_row, grid_col, score, now, l
 
 @query(f"WITH {_GRID} SELECT CAST(grid_row // 15 AS INT) AS block_row, CAST(grid_col // 15 AS INT) AS block_col, round(avg(CASE WHEN now THEN score END), 6) AS mean, round(count(CASE WHEN now THEN score END) / 225::DOUBLE, 6) AS land FROM g GROUP BY 1, 2")
 def block_mean_landfrac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block means of what is there and its share."""
+    """Block means of what is there and its share (A10, H2; of S8 the block mean)."""
     c = X.cells(spark, sf_dir).withColumn("v", F.when(F.col("now"), F.col("score")))
     return rounded(S.block_mean(c, "v", 15))
 

@@ -233,7 +233,7 @@ _BAND = f"WITH {X.CLIMATE_SQL}, v AS (SELECT place_id, CASE WHEN m IN (12, 1, 2)
 
 @query(_BAND)
 def extras_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far seasonal values move between two runs."""
+    """How far seasonal values move between two runs."""
     c = X.climate_long(spark, sf_dir, changes=True)
     season = F.when(F.col("m").isin(12, 1, 2), "DJF").when(F.col("m") <= 5, "MAM").when(F.col("m") <= 8, "JJA").otherwise("SON")
     a = c.groupBy("place_id", season.alias("s")).agg(F.avg("tmax").alias("x"), F.avg(F.col("tmax") + F.col("dtx")).alias("y"))
@@ -303,7 +303,7 @@ def unit_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def virtual_species_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A virtual species fitted and compared with its truth in blocks that the fit has not seen."""
+    """A virtual species fitted and compared with its truth in blocks that the fit has not seen (of D17 the evaluation)."""
     from .skill import presence_background
 
     p = D.block_folds(presence_background(spark, sf_dir), "x", "y", 200.0, F.col("present") == 1, folds=2)
