@@ -83,8 +83,20 @@ def preferred_run(runs: DataFrame) -> DataFrame:
 
 
 def binomial_tail(k: int, n: int, p: float = 0.5) -> float:
-    """P(X >= k)."""
-    return float("nan") if n == 0 else min(1.0, sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)))
+    """P(X >= k) for any n: terms away from the mode shrink by known ratios, so that they are added from the first until they no longer count."""
+    if n == 0:
+        return float("nan")
+    if k <= 0 or k > n or p in (0.0, 1.0):
+        return float(k <= 0 or (k <= n and p == 1.0))
+    upper = k > n * p
+    at = k if upper else k - 1
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(at + 1) - math.lgamma(n - at + 1) + at * math.log(p) + (n - at) * math.log1p(-p))
+    total = 0.0
+    while 0 <= at <= n and term > total * 1e-17:
+        total += term
+        term *= (n - at) / (at + 1) * p / (1 - p) if upper else at / (n - at + 1) * (1 - p) / p
+        at += 1 if upper else -1
+    return min(1.0, total) if upper else max(0.0, 1 - total)
 
 
 def group_verdict(results: DataFrame, by: Sequence[str], need: int) -> DataFrame:

@@ -154,6 +154,20 @@ def test_flags_and_verdicts(spark):
     assert one(spark, E.place_key(F.lit(-0.00001), F.lit(12.34567))) == "0.0000,12.3457"
 
 
+def test_binomial_tails_of_any_size():
+    exact = lambda k, n: sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n
+    for k, n in ((0, 5), (3, 5), (6, 5), (480, 1000), (520, 1000), (810, 1667), (850, 1667)):
+        assert E.binomial_tail(k, n) == pytest.approx(exact(k, n), abs=1e-12)
+    assert E.binomial_tail(8, 10, 0.75) == pytest.approx(sum(math.comb(10, i) * 0.75**i * 0.25 ** (10 - i) for i in (8, 9, 10)))
+    assert E.binomial_tail(50_200, 100_000) == pytest.approx(0.1035, abs=1e-4) and math.isnan(E.binomial_tail(0, 0))
+
+
+def test_large_groups_have_verdicts(spark):
+    from isocline.plans.wider import QUERIES
+
+    assert {(r.survey, r.n) for r in QUERIES["group_verdicts"](spark, "/root/testdata/sf0.1").collect()} == {(k, 1667 if k < 8 else 1666) for k in range(12)}
+
+
 @pytest.mark.parametrize("side", [2, 512])
 def test_patches_wrap_no_corners(spark, monkeypatch, side):
     import isocline.operators.graph as module
