@@ -194,3 +194,10 @@ def test_model_round_trip(spark, tmp_path):
     D.save(model, str(tmp_path / "m"))
     one_, two = (sorted((r.cell, round(r.raw, 9)) for r in D.score(m, df).collect()) for m in (model, D.load(str(tmp_path / "m"))))
     assert one_ == two
+
+
+def test_species_of_large_groups_have_tiers(spark):
+    from isocline.plans.wider import QUERIES
+
+    got = QUERIES["species_verdicts"](spark, "/root/testdata/sf0.1").groupBy("tier").count().collect()
+    assert sum(r["count"] for r in got) == 20_000 and {r.tier for r in got} <= {"Tier 1", "Tier 2", "Tier 3"}
