@@ -12,9 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_KM, haversine_km
+from ..functions.geo import EARTH_KM, haversine_km, unit_xyz
+from .graph import _folder
 
 KM_PER_DEGREE = EARTH_KM * math.pi / 180
+#: A search for nearest rows begins with the radius itself where buckets hold at most so many pairs, else with one of so many levels.
+FEW_PAIRS, LEVELS = 10_000_000, 8
 
 
 def _bucket(value: Column, size: float) -> Column:
@@ -24,27 +27,75 @@ def _bucket(value: Column, size: float) -> Column:
 def within_radius(left: DataFrame, right: DataFrame, km: float, names: Sequence[str] = ("lat", "lon")) -> DataFrame:
     """Pairs of rows at most km apart, with their distance in `km`; right's columns get the prefix r_.
 
-    Buckets are bands of latitude as high as the radius. A right point is copied into the three bands it may meet and the
-    buckets of longitude that its radius spans in the band nearer to the pole; all buckets where that is the whole circle.
+    Buckets are half as high as the radius. A right point is copied into the bands that its radius meets and the buckets of
+    longitude that it spans there; all of them where it holds a pole. Most others fail by their chord, before any distance.
     """
     lat, lon = names
     size = max(km / KM_PER_DEGREE, 1e-6)
-    wide = max(size, 360 / 3600)
-    count = math.ceil(360 / wide)
-    a = left.withColumn("_b", _bucket(F.col(lat), size)).withColumn("_l", F.pmod(_bucket(F.col(lon) + 180, wide), F.lit(count)))
+    high = size / 2
+    count = max(1, math.floor(360 / max(high, 360 / 3600)))
+    wide = 360 / count
+    a = left.withColumn("_b", _bucket(F.col(lat), high)).withColumn("_l", F.pmod(_bucket(F.col(lon) + 180, wide), F.lit(count)))
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    polar = F.least(F.lit(89.9), F.abs(F.col(f"r_{lat}")) + size)
-    reach = F.least(F.lit(count // 2), F.ceil(size / F.cos(F.radians(polar)) / wide).cast("int"))
-    b = b.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: _bucket(F.col(f"r_{lat}"), size) + k)))
-    at = _bucket(F.col(f"r_{lon}") + 180, wide)
-    b = b.withColumn("_l", F.explode(F.array_distinct(F.transform(F.sequence(-reach - 1, reach + 1), lambda k: F.pmod(at + k, F.lit(count))))))
-    joined = a.join(b, ["_b", "_l"]).withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col(f"r_{lat}"), F.col(f"r_{lon}")))
-    return joined.where(F.col("km") <= km).drop("_b", "_l")
+    phi = F.col(f"r_{lat}")
+    over = size * (1 + 1e-9) + 1e-9
+    b = b.withColumn("_b", F.explode(F.sequence(_bucket(phi - over, high), _bucket(phi + over, high))))
+    span = F.when(F.abs(phi) + over >= 89.9, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(min(over, 90.0))) / F.cos(F.radians(phi))))) + 1e-9)
+    at = lambda d: _bucket(F.col(f"r_{lon}") + 180 + d, wide)
+    b = b.withColumn("_l", F.explode(F.when(2 * span >= 360 - 2 * wide, F.sequence(F.lit(0), F.lit(count - 1))).otherwise(F.transform(F.sequence(at(-span), at(span)), lambda k: F.pmod(k, F.lit(count))))))
+    a = a.withColumns(dict(zip(("_x", "_y", "_z"), unit_xyz(F.col(lat), F.col(lon)), strict=True)))
+    b = b.withColumns(dict(zip(("_u", "_v", "_w"), unit_xyz(phi, F.col(f"r_{lon}")), strict=True)))
+    near = F.col("_x") * F.col("_u") + F.col("_y") * F.col("_v") + F.col("_z") * F.col("_w") >= math.cos(math.radians(min(size, 180.0))) - 1e-12
+    joined = a.join(b, ["_b", "_l"]).where(near).withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col(f"r_{lat}"), F.col(f"r_{lon}")))
+    return joined.where(F.col("km") <= km).drop("_b", "_l", "_x", "_y", "_z", "_u", "_v", "_w")
+
+
+def _first_radius(spots: DataFrame, sites: DataFrame, km: float, k: int) -> float:
+    """The largest of km, km / 4, km / 16 and so on that brings each spot a bounded number of sites on average, by counts in buckets."""
+    radii = [km / 4**j for j in range(LEVELS)]
+    cells = F.array(*[F.struct(F.lit(j).alias("j"), _bucket(F.col("lat"), r / KM_PER_DEGREE).alias("b"), _bucket(F.col("lon"), r / KM_PER_DEGREE).alias("l")) for j, r in enumerate(radii)])
+    count = lambda df, name: df.select(F.explode(cells).alias("c")).groupBy("c.j", "c.b", "c.l").agg(F.count("*").alias(name))
+    met = count(spots, "n").join(count(sites, "m"), ["j", "b", "l"]).groupBy("j").agg(F.sum(9.0 * F.col("n") * F.col("m")).alias("pairs"))
+    pairs = {r.j: r.pairs for r in met.collect()}
+    most = max(FEW_PAIRS, 32 * k * spots.count())
+    return next((r for j, r in enumerate(radii) if pairs.get(j, 0) <= most), radii[-1])
+
+
+def _nearest_sites(spots: DataFrame, sites: DataFrame, km: float, k: int) -> DataFrame:
+    """lat, lon, best: the k nearest (km, near) of each spot, `ids` being a site's k smallest keys.
+
+    Radii grow: a spot that has k rows within one is done, for no row beyond it is nearer. Only the others meet the next one.
+    """
+    by = Window.partitionBy("lat", "lon").orderBy("km", F.col("r_ids")[0])
+    out, radius = None, _first_radius(spots, sites, km, k)
+    while True:
+        pairs = within_radius(spots, sites, radius).select("lat", "lon", "km", "r_ids")
+        if k == 1:
+            best = pairs.groupBy("lat", "lon").agg(F.array(F.min(F.struct("km", F.col("r_ids")[0]["near"].alias("near")))).alias("best"))
+        else:  # the k nearest rows stand at the k nearest sites
+            rows = pairs.withColumn("_place", F.row_number().over(by)).where(F.col("_place") <= k).select("lat", "lon", F.explode(F.transform("r_ids", lambda x: F.struct(F.col("km").alias("km"), x["near"].alias("near")))).alias("r"))
+            best = rows.groupBy("lat", "lon").agg(F.slice(F.sort_array(F.collect_list("r")), 1, k).alias("best"))
+        if radius < km:
+            best = best.where(F.size("best") >= k).checkpoint()
+            spots = spots.join(best, ["lat", "lon"], "left_anti").checkpoint()
+        out = best if out is None else out.unionByName(best)
+        if radius >= km or spots.isEmpty():
+            return out
+        radius = min(km, radius * 4)
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, km: float, k: int = 1) -> DataFrame:
-    """left's key, right's key, km of the k nearest within the radius; ties go to the smaller right key."""
-    pairs = within_radius(left, right, km).select(F.col(key), F.col(f"r_{right_key}").alias("near"), "km")
+    """left's key, right's key, km of the k nearest within the radius; ties go to the smaller right key.
+
+    Rows at one position are one spot, and at most k of one site's rows can be nearest, so that distances are between
+    different positions only.
+    """
+    _folder(left.sparkSession)
+    order = Window.partitionBy("lat", "lon").orderBy("near")
+    near = right.select("lat", "lon", F.col(right_key).alias("near")).dropna(subset=["lat", "lon"]).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k)
+    sites = near.groupBy("lat", "lon").agg(F.sort_array(F.collect_list(F.struct("near"))).alias("ids")).checkpoint()
+    spots = left.select("lat", "lon").dropna().distinct().checkpoint()
+    pairs = left.select(key, "lat", "lon").join(_nearest_sites(spots, sites, km, k), ["lat", "lon"]).select(key, F.explode("best").alias("b")).select(key, "b.near", "b.km")
     if k == 1:
         best = pairs.groupBy(key).agg(F.min(F.struct("km", "near")).alias("b"))
         return best.select(key, F.col("b.near").alias("near"), F.col("b.km").alias("km"))

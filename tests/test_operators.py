@@ -201,3 +201,36 @@ def test_species_of_large_groups_have_tiers(spark):
 
     got = QUERIES["species_verdicts"](spark, "/root/testdata/sf0.1").groupBy("tier").count().collect()
     assert sum(r["count"] for r in got) == 20_000 and {r.tier for r in got} <= {"Tier 1", "Tier 2", "Tier 3"}
+
+
+def _scattered(spark, n, seed, places):
+    """Points of which many share a position, some near a pole or the date line, some without a position."""
+    rng = np.random.default_rng(seed)
+    at = [(float(a), float(b)) for a, b in zip(np.degrees(np.arcsin(rng.uniform(-1, 1, places))).round(1), rng.uniform(-180, 180, places).round(1), strict=True)]
+    at += [(89.9, 10.0), (-90.0, 0.0), (10.0, 180.0), (10.2, -179.9), (10.1, 179.9), (90.0, 77.0)]
+    rows = [(int(k), *at[rng.integers(len(at))], float(rng.integers(1, 9)), float(rng.random())) for k in rng.permutation(n)]
+    return [*rows, (n, None, 1.0, 1.0, 1.0)], "key long, lat double, lon double, v double, land double"
+
+
+@pytest.mark.parametrize("km,k,few", [(60.0, 1, 10**7), (70.0, 2, 10**7)])
+def test_nearest_rows_equal_all_pairs(spark, monkeypatch, km, k, few):
+    from isocline.functions.geo import EARTH_KM
+
+    monkeypatch.setattr(S, "FEW_PAIRS", few)
+    (a, schema), (b, _) = _scattered(spark, 400, 1, 60), _scattered(spark, 300, 2, 50)
+    met = []
+    within = S.within_radius
+    monkeypatch.setattr(S, "within_radius", lambda x, y, r: met.append((x.count(), y.count())) or within(x, y, r))
+    got = {}
+    for r in S.nearest(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "key", "key", km, k).collect():
+        got.setdefault(r.key, []).append((round(r.km, 6), r.near))
+    want = {}
+    for i, x, y, *_ in a[:-1]:
+        p, q = np.radians([x, y]), np.radians([[r[1], r[2]] for r in b[:-1]])
+        h = np.sin((q[:, 0] - p[0]) / 2) ** 2 + np.cos(p[0]) * np.cos(q[:, 0]) * np.sin((q[:, 1] - p[1]) / 2) ** 2
+        d = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h)))
+        near = sorted((round(float(v), 6), r[0]) for v, r in zip(d, b[:-1], strict=True) if v <= km)[:k]
+        if near:
+            want[i] = near
+    assert {i: sorted(v) for i, v in got.items()} == want
+    assert all(x <= len({r[1:3] for r in a}) and y <= len({r[1:3] for r in b}) for x, y in met)
