@@ -154,11 +154,19 @@ def bilinear(points: DataFrame, grid: DataFrame, key: str, value: str, lat0: flo
 
 
 def kernel_mean(points: DataFrame, cells: DataFrame, key: str, value: str, land: str, length_km: float, least_land: float = 0.05) -> DataFrame:
-    """Gaussian means cut at two lengths: weighted by land share, or not where the land's part is too small."""
-    pairs = within_radius(points, cells, 2 * length_km)
+    """Gaussian means cut at two lengths: weighted by land share, or not where the land's part is too small.
+
+    Weights depend on positions only, so that cells at one position are summed before they meet each different position once.
+    """
+    v, share = F.col(value), F.col(land)
+    sums = (F.sum(share).alias("l"), F.count("*").alias("n"), F.sum(share * v).alias("lv"), F.sum(v).alias("v"))
+    sites = cells.dropna(subset=["lat", "lon"]).groupBy("lat", "lon").agg(*sums)
+    spots = points.select("lat", "lon").dropna().distinct()
     w = F.exp(-0.5 * F.pow(F.col("km") / length_km, F.lit(2.0)))
-    v, share = F.col(f"r_{value}"), F.col(f"r_{land}")
-    sums = pairs.groupBy(key).agg(F.sum(w * share).alias("wl"), F.sum(w).alias("w"), F.sum(w * share * v).alias("vl"), F.sum(w * v).alias("v"))
+    weighted = lambda by, of: by.agg(*[F.sum(c).alias(n) for n, c in of.items()])
+    pairs = within_radius(spots, sites, 2 * length_km).groupBy("lat", "lon")
+    near = weighted(pairs, {"wl": w * F.col("r_l"), "w": w * F.col("r_n"), "vl": w * F.col("r_lv"), "v": w * F.col("r_v")})
+    sums = weighted(points.select(key, "lat", "lon").join(near, ["lat", "lon"]).groupBy(key), {n: F.col(n) for n in ("wl", "w", "vl", "v")})
     return sums.select(key, F.when(F.col("wl") / F.col("w") > least_land, F.col("vl") / F.col("wl")).otherwise(F.col("v") / F.col("w")).alias("mean"))
 
 

@@ -234,3 +234,31 @@ def test_nearest_rows_equal_all_pairs(spark, monkeypatch, km, k, few):
             want[i] = near
     assert {i: sorted(v) for i, v in got.items()} == want
     assert all(x <= len({r[1:3] for r in a}) and y <= len({r[1:3] for r in b}) for x, y in met)
+
+
+def test_kernel_means_equal_all_pairs_and_meet_positions_once(spark, monkeypatch):
+    from isocline.functions.geo import EARTH_KM
+
+    (a, schema), (b, _) = _scattered(spark, 300, 3, 40), _scattered(spark, 300, 4, 40)
+    b = [(*r[:4], 0.0 if r[1] and r[1] > 0 else r[4]) for r in b[:-1]] + [(301, b[0][1], b[0][2], None, 0.5), (302, b[1][1], b[1][2], 3.0, None), b[-1]]
+    met = []
+    within = S.within_radius
+    monkeypatch.setattr(S, "within_radius", lambda x, y, r: met.append((x.count(), y.count())) or within(x, y, r))
+    got = {r.key: r["mean"] for r in S.kernel_mean(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "key", "v", "land", 600.0).collect()}
+    want = {}
+    for i, x, y, *_ in a[:-1]:
+        wl = w = vl = v = 0.0
+        for _, p, q, value, land in b[:-1]:
+            c = [math.radians(t) for t in (x, y, p, q)]
+            h = math.sin((c[2] - c[0]) / 2) ** 2 + math.cos(c[0]) * math.cos(c[2]) * math.sin((c[3] - c[1]) / 2) ** 2
+            d = 2 * EARTH_KM * math.asin(math.sqrt(min(1.0, h)))
+            if d <= 1200:
+                g = math.exp(-0.5 * (d / 600) ** 2)
+                w += g
+                wl += g * (land or 0)
+                vl += g * (land or 0) * (value or 0)
+                v += g * (value or 0)
+        if w:
+            want[i] = vl / wl if wl / w > 0.05 else v / w
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+    assert met == [(len({r[1:3] for r in a if r[1] is not None}), len({r[1:3] for r in b if r[1] is not None}))]
