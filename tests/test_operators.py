@@ -212,7 +212,7 @@ def _scattered(spark, n, seed, places):
     return [*rows, (n, None, 1.0, 1.0, 1.0)], "key long, lat double, lon double, v double, land double"
 
 
-@pytest.mark.parametrize("km,k,few", [(60.0, 1, 10**7), (70.0, 2, 10**7), (3000.0, 5, 10), (3000.0, 5, 10**7), (25_000.0, 3, 10)])
+@pytest.mark.parametrize("km,k,few", [(60.0, 1, 10**7), (70.0, 2, 10**7), (3000.0, 5, 10), (3000.0, 5, 10**7), (25_000.0, 3, 10), (2000.0, 1, 10**7), (2000.0, 1, 10)])
 def test_nearest_rows_equal_all_pairs(spark, monkeypatch, km, k, few):
     from isocline.functions.geo import EARTH_KM
 
