@@ -3,8 +3,8 @@
 A first pass over the texts finds the base matches, which are the labelled credentials. An automaton is inferred for each
 kind: a prefix tree of the credentials' symbols whose compatible states are merged (Hoeffding bounds on the frequencies of
 symbols, ends and letters). A symbol is the smallest class of letters that holds the whole piece of a string that a letter stands in,
-so that credentials of one format share a path, and lengths and fixed parts stay states of their own. The same sample of
-texts gives the automaton of ordinary strings. A second pass scores every string outside the base spans: it is a
+so that credentials of one format share a path, and lengths and fixed parts stay states of their own. All strings outside base
+spans give the automaton of ordinary strings. Trees grow where the strings are, and are summed by path. A second pass scores every string outside the base spans: it is a
 further span if an automaton finds it as likely as the kind's own credentials are, and if it is likelier a credential than an
 ordinary string, credentials being as rare as the labelled ones are among all strings.
 """
@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import key_field, slices, staged
@@ -32,9 +32,8 @@ KINDS = ("assign", "access", "hex", "format")
 #: A candidate is a run of credential letters, as long as an assigned credential at least, or a part of one between marks.
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 SHORTEST = 6
-#: Credentials of a kind that its automaton is trained on, and texts whose strings train the ordinary one: those with the
-#: smallest hashes, as many as also fit the bytes. They are taken whole.
-LABELLED, TEXTS, SAMPLE_BYTES = 2_000, 2_000, 16 << 20
+#: What a worker holds at once, however much there is: rows of a prefix tree, and different strings of a partition with their letters.
+TREE_ROWS, HELD, HELD_LETTERS = 100_000, 100_000, 8 << 20
 #: Share of a kind's held-out credentials that may be less likely than the bar, and nats a letter that are allowed below it.
 STRANGE, MARGIN = 0.02, 0.1
 #: Share of a kind's held-out credentials that are less likely than what the first ordinary automaton is kept from.
@@ -81,33 +80,74 @@ def symbols(text: str) -> str:
     return "".join(out)
 
 
+Tree = dict[tuple[int, str, str], int]
+
+
+def _state(before: int, c: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{before}{c}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def grown(strings: Iterable[tuple[str, int]]) -> Iterator[Tree]:
+    """Parts of the prefix tree of strings' symbols, for strings with the number of times that each was seen.
+
+    (state, symbol, letter): how many strings go on from a state by a symbol, which stands for the letter. (state, symbol, ""):
+    how many end behind that. A state is a digest of its path, 0 the root; parts of any workers add up.
+    """
+    rows, states = {}, {}
+    for string, n in strings:
+        before, last, at = 0, "", 0
+        for c, letter in zip(symbols(string), string, strict=True):
+            if len(rows) >= TREE_ROWS:
+                yield rows
+                rows, states = {}, {}
+            rows[at, c, letter] = rows.get((at, c, letter), 0) + n
+            before, last = at, c
+            if (at := states.get((before, c), 0)) == 0:
+                at = states[before, c] = _state(before, c)
+        rows[before, last, ""] = rows.get((before, last, ""), 0) + n
+    yield rows
+
+
+def added(parts: Iterable[Tree], sign: int = 1, to: Tree | None = None) -> Tree:
+    """The sum of trees, or what is left of one."""
+    out = dict(to or {})
+    for part in parts:
+        for k, n in part.items():
+            out[k] = out.get(k, 0) + sign * n
+    return {k: n for k, n in out.items() if n}
+
+
 class Automaton:
     """A probabilistic deterministic automaton over symbols and their letters, by state merging (Alergia).
 
-    Strings come with the number of times that each was seen.
+    Strings come with the number of times that each was seen, or as their tree. States are numbered by the order of symbols.
     """
 
-    def __init__(self, strings: Iterable[tuple[str, int]], alpha: float = 0.05):
+    def __init__(self, strings: Iterable[tuple[str, int]] = (), alpha: float = 0.05, tree: Tree | None = None):
         self.next: list[dict[str, int]] = [{}]
         self.count, self.ends = [0], [0]
         self.seen: list[dict[str, int]] = [{}]
         self.letters: list[dict[str, int]] = [{}]
-        for string, n in strings:
-            at = 0
-            for c, letter in zip(symbols(string), string, strict=True):
-                self.count[at] += n
-                self.seen[at][c] = self.seen[at].get(c, 0) + n
-                self.letters[at][letter] = self.letters[at].get(letter, 0) + n
-                if c not in self.next[at]:
-                    self.next[at][c] = len(self.next)
-                    self.next.append({})
-                    self.count.append(0)
-                    self.ends.append(0)
-                    self.seen.append({})
-                    self.letters.append({})
-                at = self.next[at][c]
-            self.count[at] += n
-            self.ends[at] += n
+        below: dict[int, dict[str, dict[str, int]]] = {}
+        for (state, c, letter), n in (added(grown(strings)) if tree is None else tree).items():
+            below.setdefault(state, {}).setdefault(c, {})[letter] = n
+        self.ends[0] = self.count[0] = below.get(0, {}).pop("", {}).get("", 0)
+        todo = [(0, 0)]
+        while todo:
+            at, state = todo.pop()
+            for c, told in sorted(below.pop(state, {}).items()):
+                ends = told.pop("", 0)
+                n = sum(told.values())
+                self.next[at][c], self.seen[at][c] = len(self.next), n
+                for letter, m in sorted(told.items()):
+                    self.letters[at][letter] = self.letters[at].get(letter, 0) + m
+                todo.append((len(self.next), _state(state, c)))
+                self.next.append({})
+                self.count.append(n)
+                self.ends.append(ends)
+                self.seen.append({})
+                self.letters.append({})
+        self.count[0] += sum(self.seen[0].values())
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
         self.steps: dict[tuple[int, str, str], tuple[float, int]] = {}
@@ -176,7 +216,10 @@ class Automaton:
                 red.append(state)
                 reds.add(state)
             blue = [(-self.count[t], t, r, k) for r in red for k, t in self.next[r].items() if t not in reds]
-        self.states = red
+        number = {state: i for i, state in enumerate(red)}
+        self.next = [{c: number[t] for c, t in self.next[r].items()} for r in red]
+        self.count, self.ends, self.seen, self.letters = ([told[r] for r in red] for told in (self.count, self.ends, self.seen, self.letters))
+        self.states = list(range(len(red)))
 
     def _step(self, at: int, c: str, letter: str) -> tuple[float, int]:
         """The log probability of a letter in a state, and the state that follows."""
@@ -220,9 +263,10 @@ class FormatModel:
     """The automata of the kinds with their bars, and the automaton of ordinary strings.
 
     A kind's bar is the low quantile of its credentials' mean log likelihoods a letter, each by an automaton of other
-    folds; a lone credential by its own as if that had seen none. strings: what the sampled texts hold outside base spans, with the number of texts that
+    folds; a lone credential by its own as if that had seen none. strings: what the texts hold outside base spans, with the number of texts that
     hold each. Strings of one text may be credentials without a cue: those as likely as most of the labelled ones
-    don't train the first ordinary automaton, and those that a model accepts don't train the next one.
+    don't train the first ordinary automaton, and those that a model accepts don't train the next one. learned() fits the
+    same model on tables of any size.
     """
 
     FOLDS, ROUNDS = 5, 5
@@ -247,16 +291,26 @@ class FormatModel:
         self.prior = math.log(labelled / (labelled + max(runs, sum(strings.values()), 1))) if labelled else -math.inf
         if not self.kinds or not strings:
             return
-        lone = {w: symbols(w) for w, n in strings.items() if n == 1}
-        taken = {w for w, coded in lone.items() if any(a.likelihood(w, coded, (bar + more) * (len(w) + 1)) > -math.inf for (a, bar), more in zip(self.kinds, better, strict=True))}
-        typical = {w: coded for w, coded in lone.items() if self._best(w, coded) > -math.inf}
+        typical = {w: first for w, n in strings.items() if n == 1 and (first := self.typical(w, better)) is not None}
         for _ in range(self.ROUNDS):
-            self.ordinary = Automaton((w, n) for w, n in sorted(strings.items()) if w not in taken)
-            plain = {w: self.ordinary.likelihood(w, coded) if w in taken else self.ordinary.without(w, coded) for w, coded in typical.items()}
-            again = {w for w, coded in typical.items() if self._best(w, coded) + self.prior > plain[w]}
-            if again == taken:
+            self.ordinary = Automaton((w, n) for w, n in strings.items() if not typical.get(w))
+            again = {w: self.judged(w, taken) for w, taken in typical.items()}
+            if again == typical:
                 break
-            taken = again
+            typical = again
+
+    def typical(self, text: str, better: list[float]) -> bool | None:
+        """Whether a lone string is so like credentials that it doesn't train the first ordinary automaton; None if no bar is reached."""
+        coded = symbols(text)
+        if self._best(text, coded) == -math.inf:
+            return None
+        return any(a.likelihood(text, coded, (bar + more) * (len(text) + 1)) > -math.inf for (a, bar), more in zip(self.kinds, better, strict=True))
+
+    def judged(self, text: str, taken: bool) -> bool:
+        """Whether a typical string is likelier a credential than an ordinary one, which trained that automaton unless it was taken."""
+        coded = symbols(text)
+        plain = self.ordinary.likelihood(text, coded) if taken else self.ordinary.without(text, coded)
+        return self._best(text, coded) + self.prior > plain
 
     def _best(self, text: str, coded: str) -> float:
         """The largest log likelihood by an automaton whose bar the string reaches."""
@@ -311,34 +365,128 @@ def gaps(length: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
-_TEXTS = "array<struct<kind:int,run:string>>"
+_ORDINARY, _RUNS = -1, -2
 
 
-def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The labelled credentials of each text, and how many strings it holds outside base spans."""
-    label = pa.list_(pa.struct([("kind", pa.int32()), ("run", pa.string())]))
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The labelled credentials by kind, the strings outside base spans with how many texts hold them, and how many there are in all.
+
+    low and high bound the digests of the texts that hold a string, so that it is known whether all of them are one text.
+    """
+    names, types = ["kind", "run", "n", "low", "high"], [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    least, most = -(1 << 63), (1 << 63) - 1
+    held: dict[tuple[int, str], tuple[int, int | None]] = {}
+    letters = 0
+
+    def told() -> pa.RecordBatch:
+        rows = [(k, run, n, least if h is None else h, most if h is None else h) for (k, run), (n, h) in held.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
     for batch in slices(batches):
-        labels, runs = [], []
         for text in batch.column(0).to_pylist():
-            text = text or ""
-            found = base_spans(text)
-            labels.append([{"kind": k, "run": ASSIGN.match(text, a)[2] if k == 0 else text[a:b]} for a, k, b in found])
-            runs.append(sum(len(RUN.findall(text, a, b)) for a, b in gaps(len(text), found)))
-        yield pa.RecordBatch.from_arrays([pa.array(labels, label), pa.array(runs, pa.int64())], ["labels", "runs"])
-
-
-def _smallest(rows: DataFrame, column: str, most: int) -> list[str]:
-    """The values of a column with the smallest hashes, at most so many and as many as fit SAMPLE_BYTES."""
-    order = F.xxhash64(column)
-    sizes = rows.select(order.alias("h"), F.octet_length(column).alias("n")).distinct().orderBy("h", "n").limit(most).collect()
-    wanted, total = [], 0
-    for r in sizes:
-        if total + r.n <= SAMPLE_BYTES:
-            total += r.n
-            wanted.append(r.h)
-    if not wanted:
-        return []
-    return [r[0] for r in rows.where(order.isin(wanted)).select(column).distinct().orderBy(order, column).collect()]
+            if not text:
+                continue
+            spans = base_spans(text)
+            runs = [run for a, b in gaps(len(text), spans) for run in RUN.findall(text, a, b)]
+            digest = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            found = {(k, ASSIGN.match(text, a)[2] if k == 0 else text[a:b]) for a, k, b in spans} | {(_ORDINARY, run) for run in runs}
+            for key in found:
+                if (old := held.get(key)) is None:
+                    held[key] = 1, digest
+                    letters += len(key[1])
+                    if len(held) >= HELD or letters >= HELD_LETTERS:
+                        yield told()
+                        held.clear()
+                        letters = 0
+                else:
+                    held[key] = old[0] + 1, old[1] if old[1] == digest else None
+            if runs:
+                held[_RUNS, ""] = held.get((_RUNS, ""), (0,))[0] + len(runs), None
+    if held:
+        yield told()
+
+
+def _trees(rows: DataFrame) -> dict[int, Tree]:
+    """The prefix trees of strings (run, n), summed by `part`: a row for each different path and letter reaches the driver."""
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: dict[int, list[tuple[str, int]]] = {}
+            for part, run, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts.setdefault(part, []).append((run, n))
+            for part, strings in parts.items():
+                for tree in grown(strings):
+                    at, c, letter = zip(*tree, strict=True) if tree else ((), (), ())
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(c, pa.string()), pa.array(letter, pa.string()), pa.array(list(tree.values()), pa.int64())], ["part", "at", "symbol", "letter", "n"])
+
+    out: dict[int, Tree] = {}
+    grew = rows.select("part", "run", "n").mapInArrow(grow, "part int, at long, symbol string, letter string, n long")
+    for r in grew.groupBy("part", "at", "symbol", "letter").agg(F.sum("n").alias("n")).collect():
+        out.setdefault(r.part, {})[r["at"], r.symbol, r.letter] = r.n
+    return out
+
+
+def learned(strings: DataFrame) -> FormatModel:
+    """The model of all credentials and all strings of a table (kind, run, n, lone); FormatModel's on the same rows.
+
+    Every string is in a tree, every credential held out once. The driver has the trees' different paths and the automata.
+    """
+    model = FormatModel({}, {})
+    bucket = F.shiftright(F.xxhash64("run"), 54)
+    each = strings.where("kind >= 0").select("kind", "run", F.xxhash64("run").alias("h"), bucket.alias("b"))
+    totals, offsets = Counter(), []
+    for r in sorted(each.groupBy("kind", "b").count().collect(), key=lambda r: (r.kind, r.b)):
+        offsets.append((r.kind, r.b, totals[r.kind]))
+        totals[r.kind] += r["count"]
+    if not totals:
+        return model
+    folds = {k: min(model.FOLDS, n) for k, n in totals.items()}
+    of = F.create_map(*[F.lit(x) for pair in folds.items() for x in pair])
+    spark = strings.sparkSession
+    rank = F.row_number().over(Window.partitionBy("kind", "b").orderBy("h", "run")) - 1 + F.col("first")
+    each = each.join(F.broadcast(spark.createDataFrame(offsets, "kind int, b long, first long")), ["kind", "b"])
+    each = staged(each.select("kind", "run", (rank % of[F.col("kind")]).cast("int").alias("fold")), "credentials")
+    trees = _trees(each.select((F.col("kind") * 8 + F.col("fold")).alias("part"), "run", F.lit(1).cast("long").alias("n")))
+    whole = {k: added(trees[k * 8 + f] for f in range(folds[k])) for k in folds}
+    fitted = {(k, f): Automaton(tree=whole[k] if n == 1 else added([trees[k * 8 + f]], -1, whole[k])) for k, n in folds.items() for f in range(n)}
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [(a.likelihood if folds[k] > 1 else a.without)(w, symbols(w)) / (len(w) + 1) for k, w, f in zip(*(c.to_pylist() for c in batch.columns), strict=True) for a in (fitted[k, f],)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], ["kind", "x"])
+
+    held = each.mapInArrow(hold, "kind int, x double").groupBy("kind").agg(F.percentile("x", F.array(F.lit(STRANGE), F.lit(SEEDS))).alias("q"))
+    better = []
+    for kind, (low, seeds) in sorted((r.kind, r.q) for r in held.collect()):
+        model.kinds.append((Automaton(tree=whole[kind]), low - MARGIN))
+        better.append(seeds - model.kinds[-1][1])
+    labelled, runs = sum(totals.values()), strings.where(F.col("kind") == _RUNS).agg(F.sum("n")).first()[0] or 0
+    model.prior = math.log(labelled / (labelled + max(runs, 1)))
+    ordinary = strings.where(F.col("kind") == _ORDINARY)
+    every = _trees(ordinary.select(F.lit(0).alias("part"), "run", F.when(F.col("lone"), 1).otherwise(F.col("n")).cast("long").alias("n"))).get(0)
+    if not every:
+        return model
+
+    def like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [(w, taken) for w in batch.column(0).to_pylist() if (taken := model.typical(w, better)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in told], pa.string()), pa.array([t for _, t in told], pa.bool_()), pa.array([True] * len(told), pa.bool_())], ["run", "taken", "changed"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before = batch.column(1).to_pylist()
+            after = [model.judged(w, taken) for w, taken in zip(batch.column(0).to_pylist(), before, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(after, pa.bool_()), pa.array([a != b for a, b in zip(after, before, strict=True)], pa.bool_())], ["run", "taken", "changed"])
+
+    schema = "run string, taken boolean, changed boolean"
+    typical = staged(ordinary.where("lone").select("run").mapInArrow(like, schema), "typical")
+    for _ in range(model.ROUNDS):
+        taken = _trees(typical.where("taken").select(F.lit(0).alias("part"), "run", F.lit(1).cast("long").alias("n"))).get(0, {})
+        model.ordinary = Automaton(tree=added([taken], -1, every))
+        typical = staged(typical.select("run", "taken").mapInArrow(judge, schema), "typical")
+        if typical.where("changed").isEmpty():
+            break
+    return model
 
 
 def _told(spans: list[tuple[int, int, int]]) -> str:
@@ -350,22 +498,15 @@ def scan_secrets(docs: DataFrame, key: str | None = None) -> DataFrame:
 
     base_sha256 is the digest of the base spans, written kind:start:end in code points and joined by commas; spans has
     all spans so, and found holds them as structs (start, kind, end), kind 3 being the automata's. Null and empty texts
-    have none. Texts of any length are scanned whole, and strings of any length scored. Repeated rows are scanned alike, and
+    have none. Texts of any length are scanned whole, and strings of any length scored; all of them are learned from. Repeated rows are scanned alike, and
     count once as labelled credentials; ties do not arise. Without a labelled credential the method adds no span. An empty table gives an
     empty result. key is a further column to carry; others are not read, so their names may clash.
     """
     extra = [key] if key else []
     text = docs.select("doc_id", "text", *extra)
-    labelled = staged(text.select("text").mapInArrow(_labels, f"labels {_TEXTS}, runs long"), "labels")
-    runs = labelled.agg(F.sum("runs")).first()[0] or 0
-    each = labelled.where(F.size("labels") > 0).select(F.explode("labels").alias("l")).select("l.kind", "l.run")
-    each = staged(each.distinct(), "credentials")
-    credentials = {kind: _smallest(each.where(F.col("kind") == kind), "run", LABELLED) for kind in range(3)}
-    strings: Counter = Counter()
-    if any(credentials.values()):
-        for sampled in _smallest(text.where("text <> ''"), "text", TEXTS):
-            strings.update({m[0] for a, b in gaps(len(sampled), base_spans(sampled)) for m in RUN.finditer(sampled, a, b)})
-    model = FormatModel(credentials, strings, runs)
+    found = text.select("text").mapInArrow(_strings, "kind int, run string, n long, low long, high long")
+    strings = found.groupBy("kind", "run").agg(F.sum("n").alias("n"), (F.min("low") == F.max("high")).alias("lone"))
+    model = learned(staged(strings, "strings"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
