@@ -107,3 +107,17 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(ValueError):
         shared_folder(Session)
+
+
+def test_secret_stage_learns_from_every_text(spark, monkeypatch):
+    """More labelled credentials and texts than a sample of 2,000 would hold."""
+    from isocline.llm import secrets
+
+    models = []
+    learned = secrets.learned
+    monkeypatch.setattr(secrets, "learned", lambda strings: models.append(learned(strings)) or models[-1])
+    rows = [(i, f"every text says lonely{i:05d}end and token = abc{i:05d}", "en", "s", 9) for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    clean = stage(spark, "secret scan", docs).collect()
+    assert len(clean) == 3_000 and not any("token = abc" in r.text for r in clean)
+    assert [sum(a.ends) for a, _ in models[0].kinds] == [3_000]
