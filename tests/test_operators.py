@@ -203,6 +203,16 @@ def test_species_of_large_groups_have_tiers(spark):
     assert sum(r["count"] for r in got) == 20_000 and {r.tier for r in got} <= {"Tier 1", "Tier 2", "Tier 3"}
 
 
+def test_species_of_groups_without_known_directions_have_tiers(spark, sf):
+    from isocline.plans.wider import species_results
+
+    lost = species_results(spark, sf).withColumn("direction_agree", F.when(F.col("survey") != 3, F.col("direction_agree")))
+    groups = E.group_verdict(lost, ["survey"], 10)
+    assert {r.survey: r.direction for r in groups.collect()}[3] is False
+    tiers = E.species_verdict(lost.join(groups.select("survey", "status"), "survey"))
+    assert tiers.count() == lost.count() and tiers.where("survey = 3 and tier = 'Tier 1'").isEmpty()
+
+
 def _scattered(spark, n, seed, places):
     """Points of which many share a position, some near a pole or the date line, some without a position."""
     rng = np.random.default_rng(seed)
