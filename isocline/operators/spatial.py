@@ -29,6 +29,7 @@ def within_radius(left: DataFrame, right: DataFrame, km: float, names: Sequence[
 
     Buckets are half as high as the radius. A right point is copied into the bands that its radius meets and the buckets of
     longitude that it spans there; all of them where it holds a pole. Most others fail by their chord, before any distance.
+    Plans take the copies for as few as the points, so that the join is always a sorted one: no side is broadcast.
     """
     lat, lon = names
     size = max(km / KM_PER_DEGREE, 1e-6)
@@ -46,7 +47,7 @@ def within_radius(left: DataFrame, right: DataFrame, km: float, names: Sequence[
     a = a.withColumns(dict(zip(("_x", "_y", "_z"), unit_xyz(F.col(lat), F.col(lon)), strict=True)))
     b = b.withColumns(dict(zip(("_u", "_v", "_w"), unit_xyz(phi, F.col(f"r_{lon}")), strict=True)))
     near = F.col("_x") * F.col("_u") + F.col("_y") * F.col("_v") + F.col("_z") * F.col("_w") >= math.cos(math.radians(min(size, 180.0))) - 1e-12
-    joined = a.join(b, ["_b", "_l"]).where(near).withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col(f"r_{lat}"), F.col(f"r_{lon}")))
+    joined = a.hint("merge").join(b, ["_b", "_l"]).where(near).withColumn("km", haversine_km(F.col(lat), F.col(lon), F.col(f"r_{lat}"), F.col(f"r_{lon}")))
     return joined.where(F.col("km") <= km).drop("_b", "_l", "_x", "_y", "_z", "_u", "_v", "_w")
 
 
@@ -95,12 +96,15 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, km: flo
     near = right.select("lat", "lon", F.col(right_key).alias("near")).dropna(subset=["lat", "lon"]).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k)
     sites = near.groupBy("lat", "lon").agg(F.sort_array(F.collect_list(F.struct("near"))).alias("ids")).checkpoint()
     spots = left.select("lat", "lon").dropna().distinct().checkpoint()
-    pairs = left.select(key, "lat", "lon").join(_nearest_sites(spots, sites, km, k), ["lat", "lon"]).select(key, F.explode("best").alias("b")).select(key, "b.near", "b.km")
+    rows = left.select(key, "lat", "lon").join(_nearest_sites(spots, sites, km, k), ["lat", "lon"])
     if k == 1:
-        best = pairs.groupBy(key).agg(F.min(F.struct("km", "near")).alias("b"))
-        return best.select(key, F.col("b.near").alias("near"), F.col("b.km").alias("km"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("km", "near"))
-    return pairs.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+        best = rows.groupBy(key).agg(F.min(F.col("best")[0]).alias("b"))
+    else:
+        # only the k positions with the nearest first rows count where a key has more
+        first = F.row_number().over(Window.partitionBy(key).orderBy(F.col("best")[0]))
+        rows = rows.withColumn("_place", first).where(F.col("_place") <= k)
+        best = rows.groupBy(key).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best")).select(key, F.explode("best").alias("b"))
+    return best.select(key, "b.near", "b.km")
 
 
 def neighbours(rows: int = 1) -> Column:

@@ -272,3 +272,24 @@ def test_kernel_means_equal_all_pairs_and_meet_positions_once(spark, monkeypatch
             want[i] = vl / wl if wl / w > 0.05 else v / w
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
     assert met == [(len({r[1:3] for r in a if r[1] is not None}), len({r[1:3] for r in b if r[1] is not None}))]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("query", ["inverse_distance_five"])
+def test_copies_in_buckets_are_never_broadcast(spark, sf, monkeypatch, query):
+    from isocline.plans import space
+
+    plans, within = [], S.within_radius
+    monkeypatch.setattr(S, "within_radius", lambda *a: plans.append(_plan(out := within(*a))) or out)
+    assert space.QUERIES[query](spark, sf).count() > 0
+    assert plans and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
+def test_a_key_at_two_positions_has_the_nearest_of_both(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 5.0), (2, 0.0, 9.0)], "key long, lat double, lon double")
+    b = spark.createDataFrame([(7, 0.0, 0.1), (8, 0.0, 5.2), (9, 0.0, 5.3), (6, 0.0, 5.3)], "near_id long, lat double, lon double")
+    assert sorted((r.key, r.near) for r in S.nearest(a, b, "key", "near_id", 500.0, 3).collect()) == [(1, 6), (1, 7), (1, 8), (2, 6), (2, 8), (2, 9)]
+    assert sorted((r.key, r.near) for r in S.nearest(a, b, "key", "near_id", 500.0).collect()) == [(1, 7), (2, 6)]
