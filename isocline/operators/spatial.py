@@ -55,9 +55,9 @@ def _first_radius(spots: DataFrame, sites: DataFrame, km: float, k: int) -> floa
     """The largest of km, km / 4, km / 16 and so on that brings each spot a bounded number of sites on average, by counts in buckets."""
     radii = [km / 4**j for j in range(LEVELS)]
     cells = F.array(*[F.struct(F.lit(j).alias("j"), _bucket(F.col("lat"), r / KM_PER_DEGREE).alias("b"), _bucket(F.col("lon"), r / KM_PER_DEGREE).alias("l")) for j, r in enumerate(radii)])
-    count = lambda df, name: df.select(F.explode(cells).alias("c")).groupBy("c.j", "c.b", "c.l").agg(F.count("*").alias(name))
-    met = count(spots, "n").join(count(sites, "m"), ["j", "b", "l"]).groupBy("j").agg(F.sum(9.0 * F.col("n") * F.col("m")).alias("pairs"))
-    pairs = {r.j: r.pairs for r in met.collect()}
+    of = lambda df, n, m: df.select(F.explode(cells).alias("c"), F.lit(n).alias("n"), F.lit(m).alias("m"))
+    met = of(spots, 1, 0).unionByName(of(sites, 0, 1)).groupBy("c.j", "c.b", "c.l").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    pairs = {r.j: r.pairs for r in met.groupBy("j").agg(F.sum(9.0 * F.col("n") * F.col("m")).alias("pairs")).collect()}
     most = max(FEW_PAIRS, 32 * k * spots.count())
     return next((r for j, r in enumerate(radii) if pairs.get(j, 0) <= most), radii[-1])
 

@@ -278,7 +278,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("query", ["inverse_distance_five"])
+@pytest.mark.parametrize("query", ["inverse_distance_five", "nearest_place"])
 def test_copies_in_buckets_are_never_broadcast(spark, sf, monkeypatch, query):
     from isocline.plans import space
 
