@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import binaries, fixed_binary, join_hot, key_field, key_groups, slices, small_side, staged
+from .common import binaries, fixed_binary, handing_back, join_hot, key_field, key_groups, slices, small_side, staged
 from .components import connected_components, contracted
 
 SIZE, DEPTH, TREES = 128, 4, 32
@@ -52,7 +52,7 @@ def _signatures(words: int):
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The keys of a node in all trees: tree, a hash of its first DEPTH values there, and the DEEPER values that follow."""
-    for batch in batches:
+    for batch in handing_back(batches):
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
             values = fixed_binary(part.column(1), SIZE, ">u4").astype(np.uint64)
@@ -133,7 +133,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 run += 1
         return out, rest
 
-    for batch in batches:
+    for batch in handing_back(batches):
         if not batch.num_rows:
             continue
         new_keys, new_nodes = fixed_binary(batch.column(0), _KEY, np.uint8), fixed_binary(batch.column(1), _NODE, np.uint8)

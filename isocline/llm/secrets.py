@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_field, slices, staged
+from .common import handing_back, key_field, slices, staged
 
 # The patterns of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -410,7 +410,7 @@ def _trees(rows: DataFrame) -> dict[int, Tree]:
     """The prefix trees of strings (run, n), summed by `part`: a row for each different path and letter reaches the driver."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in handing_back(batches):
             parts: dict[int, list[tuple[str, int]]] = {}
             for part, run, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts.setdefault(part, []).append((run, n))
@@ -444,14 +444,16 @@ def learned(strings: DataFrame) -> FormatModel:
     of = F.create_map(*[F.lit(x) for pair in folds.items() for x in pair])
     spark = strings.sparkSession
     rank = F.row_number().over(Window.partitionBy("kind", "b").orderBy("h", "run")) - 1 + F.col("first")
-    each = each.join(F.broadcast(spark.createDataFrame(offsets, "kind int, b long, first long")), ["kind", "b"])
+    # As an Arrow table: a list would pass through Python workers of another kind, which stay beside the others.
+    first = pa.table([pa.array(c, t) for c, t in zip(zip(*offsets, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["kind", "b", "first"])
+    each = each.join(F.broadcast(spark.createDataFrame(first)), ["kind", "b"])
     each = staged(each.select("kind", "run", (rank % of[F.col("kind")]).cast("int").alias("fold")), "credentials")
     trees = _trees(each.select((F.col("kind") * 8 + F.col("fold")).alias("part"), "run", F.lit(1).cast("long").alias("n")))
     whole = {k: added(trees[k * 8 + f] for f in range(folds[k])) for k in folds}
     fitted = {(k, f): Automaton(tree=whole[k] if n == 1 else added([trees[k * 8 + f]], -1, whole[k])) for k, n in folds.items() for f in range(n)}
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in handing_back(batches):
             x = [(a.likelihood if folds[k] > 1 else a.without)(w, symbols(w)) / (len(w) + 1) for k, w, f in zip(*(c.to_pylist() for c in batch.columns), strict=True) for a in (fitted[k, f],)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], ["kind", "x"])
 
@@ -468,12 +470,12 @@ def learned(strings: DataFrame) -> FormatModel:
         return model
 
     def like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in handing_back(batches):
             told = [(w, taken) for w in batch.column(0).to_pylist() if (taken := model.typical(w, better)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in told], pa.string()), pa.array([t for _, t in told], pa.bool_()), pa.array([True] * len(told), pa.bool_())], ["run", "taken", "changed"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in handing_back(batches):
             before = batch.column(1).to_pylist()
             after = [model.judged(w, taken) for w, taken in zip(batch.column(0).to_pylist(), before, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(after, pa.bool_()), pa.array([a != b for a, b in zip(after, before, strict=True)], pa.bool_())], ["run", "taken", "changed"])

@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-_BLOCK = 1 << 20
+#: Bytes hashed at once: a worker keeps two powers of 8 bytes for each, and some running sums while it hashes.
+_BLOCK = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

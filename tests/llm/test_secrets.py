@@ -159,6 +159,14 @@ def test_all_credentials_and_strings_are_learned(spark):
     assert model.kinds[0][0].count[0] >= 2_600 and sum(model.ordinary.ends) >= sum(words.values()) - 40
 
 
+def test_learning_passes_no_list_through_python_workers(spark, monkeypatch):
+    from pyspark import SparkContext
+
+    df = spark.createDataFrame([(0, "hunter2hunter2", 1, True), (-1, "plain", 3, False), (-2, "", 3, False)], "kind int, run string, n long, lone boolean")
+    monkeypatch.setattr(SparkContext, "parallelize", None)
+    assert len(learned(df).kinds) == 1
+
+
 def test_scan_counts_every_text(spark, monkeypatch):
     told = {}
     monkeypatch.setattr(secrets, "learned", lambda strings: told.update({(r.kind, r.run): (r.n, r.lone) for r in strings.collect()}) or learned(strings))
